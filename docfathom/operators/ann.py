@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from docfathom.functions.documents import clamp_limit
-from docfathom.functions.vectors import list_matrix
+from docfathom.functions.vectors import dot, list_matrix
 from docfathom.operators.similarity import nearest_in_cells, searchable
 from docfathom.session import materialize
 
@@ -27,6 +27,8 @@ def train_cells(corpus: DataFrame, cells: int = 32, seed: int = 7) -> np.ndarray
     share = min(1.0, cells * TRAIN_ROWS_PER_CELL / max(1, total))
     if share < 1.0:
         vectors = vectors.sample(share, seed)
+    # A zero vector has no direction to train on.
+    vectors = vectors.filter(dot(F.col("embedding"), F.col("embedding")) > 0)
     training = materialize(vectors.select(array_to_vector(F.col("embedding")).alias("features")))
     model = KMeans(k=cells, seed=seed, maxIter=20, distanceMeasure="cosine").fit(training)
     centres = np.array([np.asarray(centre) for centre in model.clusterCenters()])

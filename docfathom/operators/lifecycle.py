@@ -16,6 +16,8 @@ from docfathom.functions.documents import (
 from docfathom.operators.spread import latest_per_key, lookup_join
 from docfathom.schemas import BACKFILL_AGE, EMBED_MAX_ATTEMPTS, FAILED, INDEXED, MAX_TEXT_BYTES, PENDING
 
+BEFORE_ALL = -(1 << 62)
+
 STATE = [
     "id",
     "tenant_id",
@@ -279,7 +281,7 @@ def document_lifecycle(changes: DataFrame) -> DataFrame:
     )
     slim = changes.filter(F.col("op") != "delete").select("id", "seq", "ts", "op", "text_hash")
     since = lookup_join(slim, removed, ["id"], F.col("seq"), "left").filter(
-        F.col("seq") > F.coalesce("removed_seq", F.lit(-1))
+        F.col("seq") > F.coalesce("removed_seq", F.lit(BEFORE_ALL))
     )
 
     def where(op: str, column: str = "seq") -> Column:
@@ -340,6 +342,48 @@ def document_lifecycle(changes: DataFrame) -> DataFrame:
     )
 
 
+def apply_changes(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
+    """The live documents after ``changes`` to a snapshot, both folded as one log.
+
+    Documents no change names pass through. The others are written as the few
+    changes that lead to them, numbered below any real ``seq``.
+    """
+    named = changes.select("id").distinct()
+    kept = snapshot.join(named, "id", "left_anti").select(*STATE)
+    base = snapshot.join(named, "id", "left_semi")
+    steps = F.filter(
+        F.array(
+            _step(1, "ingest", "created_at"),
+            F.when(F.col("model").isNotNull(), _step(2, "embed_ok", "updated_at")),
+            F.when(F.col("status") == PENDING, _step(3, "ingest", "updated_at")),
+            F.when(F.col("status") == FAILED, _step(4, "embed_fail", "updated_at")),
+        ),
+        lambda step: step.isNotNull(),
+    )
+    # A vector is repeated only where it is stored, on its own step.
+    is_vector = F.col("step.op") == "embed_ok"
+    earlier = base.withColumn("step", F.explode(steps)).select(
+        F.col("step.seq").alias("seq"),
+        F.col("step.ts").alias("ts"),
+        F.col("step.op").alias("op"),
+        "id",
+        "tenant_id",
+        F.when(F.col("step.op") == "ingest", F.col("text")).alias("text"),
+        F.when(F.col("step.op") == "ingest", F.col("metadata")).alias("metadata"),
+        F.when(is_vector, F.col("embedding")).alias("embedding"),
+        F.when(is_vector, F.col("model")).alias("model"),
+        F.lit(None).cast("string").alias("text_hash"),
+    )
+    log = earlier.unionByName(changes.select(*earlier.columns))
+    return kept.unionByName(document_lifecycle(log))
+
+
+def _step(number: int, op: str, moment: str) -> Column:
+    return F.struct(
+        F.lit(BEFORE_ALL + number).alias("seq"), F.lit(op).alias("op"), F.col(moment).alias("ts")
+    )
+
+
 # -- work still to do -------------------------------------------------------
 
 
