@@ -1,5 +1,5 @@
 """Multi-tenant document retrieval by embedding, expressed as Spark jobs."""
 
-from docfathom.session import build_session, checkpoint_dir, materialize
+from docfathom.session import build_session, checkpoint_dir, materialize, ship_package
 
-__all__ = ["build_session", "checkpoint_dir", "materialize"]
+__all__ = ["build_session", "checkpoint_dir", "materialize", "ship_package"]

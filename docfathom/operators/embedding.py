@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from docfathom.functions.documents import text_hash
 from docfathom.operators.similarity import search_topk_batch
@@ -24,8 +24,15 @@ from docfathom.session import materialize
 
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 
-RESULT_SCHEMA = (
-    "id string, text_hash string, embedding array<float>, error string, attempts int, batch_size int"
+RESULT_TYPE = T.StructType(
+    [
+        T.StructField("id", T.StringType()),
+        T.StructField("text_hash", T.StringType()),
+        T.StructField("embedding", T.ArrayType(T.FloatType())),
+        T.StructField("error", T.StringType()),
+        T.StructField("attempts", T.IntegerType()),
+        T.StructField("batch_size", T.IntegerType()),
+    ]
 )
 RESULT_ARROW = pa.schema(
     [
@@ -81,15 +88,22 @@ class HashEmbedder:
 
 def hash_weights(docs: DataFrame, dims: int = 64) -> DataFrame:
     """``HashEmbedder``'s non-zero elements by column functions: ``(id, place, weight)``."""
-    words = docs.select("id", F.explode(F.split("text", r"[ \t\n\r]+")).alias("word"))
+    # Placed by id once, the rest needs no further shuffle.
+    words = docs.repartition("id").select(
+        "id", F.explode(F.split("text", r"[ \t\n\r]+")).alias("word")
+    )
     digest = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint")
     counts = (
         words.filter("word <> ''")
         .groupBy("id", F.pmod(digest, F.lit(dims)).cast("int").alias("place"))
         .agg(F.count("*").alias("n"))
     )
-    lengths = counts.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
-    return counts.join(lengths, "id").select(
+    # At most ``dims`` places per document.
+    places = counts.groupBy("id").agg(F.collect_list(F.struct("place", "n")).alias("places"))
+    squares = F.aggregate(
+        "places", F.lit(0).cast("bigint"), lambda total, x: total + x["n"] * x["n"]
+    )
+    return places.select("id", F.sqrt(squares).alias("length"), F.inline("places")).select(
         "id", "place", (F.col("n") / F.col("length")).alias("weight")
     )
 
@@ -154,13 +168,17 @@ def embed_documents(
     dims: int | None = None,
     batch_size: int = EMBED_BATCH_SIZE,
     max_attempts: int = EMBED_MAX_ATTEMPTS,
+    spread: bool = False,
     partitions: int | None = None,
+    keep: Sequence[str] = (),
     sleep: Callable[[float], None] = time.sleep,
 ) -> DataFrame:
-    """One result per document ``(id, text)``; schema ``RESULT_SCHEMA``.
+    """One result per document ``(id, text)``; schema ``RESULT_TYPE`` and ``keep``.
 
-    Each partition calls the embedder with up to ``batch_size`` texts at a time;
-    the number of partitions bounds the calls in flight. Tasks may be repeated,
+    Each partition calls the embedder with up to ``batch_size`` texts at a time,
+    so the number of partitions bounds the calls in flight: the scan's own, or
+    with ``spread`` those of a shuffle by id (``partitions`` of them, if given),
+    which pays where a call costs more than moving its texts. Tasks may be repeated,
     so the embedder must give the same vectors again, and a costly embedder's
     output should be written (``materialize``) before it is used twice.
     """
@@ -180,14 +198,18 @@ def embed_documents(
                     pa.array([error for _, error, _ in done], pa.string()),
                     pa.array([attempts for _, _, attempts in done], pa.int32()),
                     pa.array([len(texts)] * len(texts), pa.int32()),
+                    *[group.column(name) for name in keep],
                 ],
-                schema=RESULT_ARROW,
+                names=[*RESULT_ARROW.names, *keep],
             )
 
-    texts = docs.select("id", "text", text_hash(F.col("text")).alias("text_hash"))
+    texts = docs.select("id", "text", text_hash(F.col("text")).alias("text_hash"), *keep)
     if partitions:
-        texts = texts.repartition(partitions)
-    return texts.mapInArrow(embed, RESULT_SCHEMA)
+        texts = texts.repartition(partitions, "id")
+    elif spread:
+        texts = texts.repartition("id")
+    schema = T.StructType([*RESULT_TYPE.fields, *(docs.schema[name] for name in keep)])
+    return texts.mapInArrow(embed, schema)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:

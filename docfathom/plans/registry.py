@@ -17,6 +17,7 @@ from docfathom.operators.embedding import (
 )
 from docfathom.plans import fixtures as fx
 from docfathom.schemas import INDEXED
+from docfathom.session import ship_package
 from docfathom.sources import messages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,21 +30,20 @@ CELLS = 32
 NPROBE = 16
 
 
-def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
-    return function
-
-
 def named(name: str) -> Callable[[Query], Query]:
-    """For a query whose name is also an operator's."""
+    """Register a query whose name is also an imported operator's."""
 
     def add(function: Query) -> Query:
-        QUERIES[name] = function
+        QUERIES[name] = lambda spark, sf_dir: function(ship_package(spark), sf_dir)
         return function
 
     return add
 
 
+def query(function: Query) -> Query:
+    return named(function.__name__)(function)
+
+
 def moment(column: str) -> Column:
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(column)
 
@@ -403,7 +403,7 @@ def hash_embedding(spark, sf_dir):
 @named("embed_documents")
 def embed_documents_all(spark, sf_dir):
     docs = fx.corpus(spark, sf_dir).select("id", "text")
-    return embed_documents(docs, HashEmbedder(DIMS), DIMS).select(
+    return embed_documents(docs, HashEmbedder(DIMS), DIMS, spread=True).select(
         "id", "text_hash", quantized(F.col("embedding")).alias("embedding"), "attempts", "error"
     )
 
@@ -411,7 +411,7 @@ def embed_documents_all(spark, sf_dir):
 @query
 def embed_batches(spark, sf_dir):
     docs = fx.corpus(spark, sf_dir).select("id", "text")
-    return embed_documents(docs, HashEmbedder(DIMS), DIMS).agg(
+    return embed_documents(docs, HashEmbedder(DIMS), DIMS, spread=True).agg(
         F.count("*").alias("n_texts"), (F.max("batch_size") <= 100).alias("within_limit")
     )
 
@@ -419,8 +419,8 @@ def embed_batches(spark, sf_dir):
 @named("search_text_topk")
 def search_text_topk_all(spark, sf_dir):
     docs = fx.corpus(spark, sf_dir).select("id", "tenant_id", "text")
-    vectors = embed_documents(docs, HashEmbedder(DIMS), DIMS).select("id", "embedding")
-    embedded = docs.drop("text").join(vectors, "id").withColumn("status", F.lit(INDEXED))
+    vectors = embed_documents(docs, HashEmbedder(DIMS), DIMS, spread=True, keep=["tenant_id"])
+    embedded = vectors.filter("error IS NULL").withColumn("status", F.lit(INDEXED))
     return shown(
         search_text_topk(embedded, fx.text_queries(spark, sf_dir), HashEmbedder(DIMS), DIMS)
     )

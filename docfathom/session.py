@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +18,8 @@ SQL_SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+_shipped: dict[str, str] = {}
+
 
 def build_session(
     app_name: str = "docfathom",
@@ -27,7 +31,24 @@ def build_session(
         builder = builder.master(master)
     for key, value in {**SQL_SETTINGS, **(settings or {})}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Let Spark hand this package to the Python workers, once per application.
+
+    Functions run by workers import it there, wherever they were started.
+    """
+    context = spark.sparkContext
+    if _shipped.get("application") != context.applicationId:
+        package = Path(__file__).parent
+        archive = Path(tempfile.mkdtemp(prefix="docfathom-")) / "docfathom.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        _shipped["application"] = context.applicationId
+    return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
