@@ -108,18 +108,32 @@ def upsert_documents(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
     )
     first = accepted.groupBy("id").agg(F.min_by("ts", "seq").alias("first_at"))
     written = newest.join(first, "id")
-    is_new = F.col("written_at").isNotNull()
-    return snapshot.join(written, "id", "full_outer").select(
+    # Unlike a full outer join, these two let Spark broadcast a small batch, and
+    # the second reads nothing but ids from the snapshot.
+    hit = F.col("written_at").isNotNull()
+    rewritten = snapshot.join(written, "id", "left").select(
         "id",
-        F.coalesce("tenant_id", "new_tenant").alias("tenant_id"),
-        F.when(is_new, F.col("new_text")).otherwise(F.col("text")).alias("text"),
-        F.when(is_new, F.col("new_metadata")).otherwise(F.col("metadata")).alias("metadata"),
-        F.when(~is_new, F.col("embedding")).alias("embedding"),
-        F.when(is_new, PENDING).otherwise(F.col("status")).alias("status"),
+        "tenant_id",
+        F.when(hit, F.col("new_text")).otherwise(F.col("text")).alias("text"),
+        F.when(hit, F.col("new_metadata")).otherwise(F.col("metadata")).alias("metadata"),
+        F.when(~hit, F.col("embedding")).alias("embedding"),
+        F.when(hit, PENDING).otherwise(F.col("status")).alias("status"),
         "model",
-        F.coalesce("created_at", "first_at").alias("created_at"),
+        "created_at",
         F.coalesce("written_at", "updated_at").alias("updated_at"),
     )
+    added = written.join(snapshot.select("id"), "id", "left_anti").select(
+        "id",
+        F.col("new_tenant").alias("tenant_id"),
+        F.col("new_text").alias("text"),
+        F.col("new_metadata").alias("metadata"),
+        F.lit(None).cast(snapshot.schema["embedding"].dataType).alias("embedding"),
+        F.lit(PENDING).alias("status"),
+        F.lit(None).cast("string").alias("model"),
+        F.col("first_at").alias("created_at"),
+        F.col("written_at").alias("updated_at"),
+    )
+    return rewritten.unionByName(added)
 
 
 # -- embed outcomes ---------------------------------------------------------
@@ -296,7 +310,7 @@ def document_lifecycle(changes: DataFrame) -> DataFrame:
         F.max_by("ts", where("embed_fail")).alias("failed_at"),
     )
     live = ingests.filter("ingest_seq IS NOT NULL")
-    contents = changes.select(
+    contents = changes.filter(F.col("op") == "ingest").select(
         "id", F.col("seq").alias("ingest_seq"), "tenant_id", "text", "metadata"
     )
     live = live.join(contents, ["id", "ingest_seq"])

@@ -79,8 +79,11 @@ def cache_entries(queries: DataFrame, hits: DataFrame, cached_at: Column) -> Dat
         cached_at.alias("cached_at"),
     )
     # Equal keys have equal results; only the time can differ.
-    newest = entries.groupBy("cache_key").agg(F.max("cached_at").alias("cached_at"))
-    return entries.join(newest, ["cache_key", "cached_at"], "left_semi").dropDuplicates(["cache_key"])
+    return entries.groupBy("cache_key").agg(
+        F.any_value("tenant_id").alias("tenant_id"),
+        F.any_value("results").alias("results"),
+        F.max("cached_at").alias("cached_at"),
+    )
 
 
 def fresh_entries(cache: DataFrame, as_of: Column, ttl_seconds: int = CACHE_TTL_SECONDS) -> DataFrame:

@@ -26,6 +26,10 @@ from docfathom.schemas import DEFAULT_LIMIT, INDEXED, MAX_LIMIT
 # Queries whose vectors take at most this much are sent to every task.
 SENT_QUERY_BYTES = 64 << 20
 SENT_QUERY_ROWS = 100_000
+# Hits a task may have to keep for them until its documents are scored.
+SENT_QUERY_HITS = 2_000_000
+# Cells whose block layout (a name and two numbers each) is broadcast.
+SENT_CELLS = 500_000
 # Rows of one side of a scoring block when both sides are shuffled.
 BLOCK_ROWS = 4096
 # Scores computed at a time inside a task.
@@ -151,11 +155,18 @@ def nearest_in_cells(
     gives back at most ``limit`` rows per query.
     """
     size = queries.agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(F.size("query_vec")), F.lit(0)).alias("floats")
+        F.count("*").alias("rows"),
+        F.coalesce(F.sum(F.size("query_vec")), F.lit(0)).alias("floats"),
+        F.coalesce(F.sum("limit"), F.lit(0)).alias("hits"),
+        F.countDistinct("cell").alias("cells"),
     ).first()
-    if size.n <= SENT_QUERY_ROWS and size.floats * 8 <= sent_query_bytes:
+    if (
+        size.rows <= SENT_QUERY_ROWS
+        and size.hits <= SENT_QUERY_HITS
+        and size.floats * 8 <= sent_query_bytes
+    ):
         return rank_hits(_score_where_stored(docs, queries))
-    return rank_hits(_score_in_blocks(docs, queries, block_rows))
+    return rank_hits(_score_in_blocks(docs, queries, block_rows, size.cells <= SENT_CELLS))
 
 
 def rank_hits(hits: DataFrame) -> DataFrame:
@@ -205,7 +216,9 @@ def _score_where_stored(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return asked.mapInArrow(score, HIT_SCHEMA)
 
 
-def _score_in_blocks(docs: DataFrame, queries: DataFrame, block_rows: int) -> DataFrame:
+def _score_in_blocks(
+    docs: DataFrame, queries: DataFrame, block_rows: int, few_cells: bool
+) -> DataFrame:
     """Shuffle both sides into blocks of bounded size and score block pairs.
 
     A cell with many documents or many queries becomes many blocks, so no task
@@ -225,14 +238,19 @@ def _score_in_blocks(docs: DataFrame, queries: DataFrame, block_rows: int) -> Da
     def every(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
+    def place(rows: DataFrame, key: str) -> DataFrame:
+        if few_cells:
+            return rows.join(F.broadcast(layout), "cell")
+        return lookup_join(rows, layout, ["cell"], F.col(key))
+
     placed_docs = (
-        lookup_join(docs, layout, ["cell"], F.col("id"))
+        place(docs, "id")
         .withColumn("doc_block", block_of("id", "doc_blocks"))
         .withColumn("query_block", every("query_blocks"))
         .select("cell", "doc_block", "query_block", "id", "embedding")
     )
     placed_queries = (
-        lookup_join(queries, layout, ["cell"], F.col("query_id"))
+        place(queries, "query_id")
         .withColumn("query_block", block_of("query_id", "query_blocks"))
         .withColumn("doc_block", every("doc_blocks"))
         .select("cell", "doc_block", "query_block", "query_id", "query_vec", "limit")

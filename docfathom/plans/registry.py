@@ -17,7 +17,7 @@ from docfathom.operators.embedding import (
 )
 from docfathom.plans import fixtures as fx
 from docfathom.schemas import INDEXED
-from docfathom.session import ship_package
+from docfathom.session import materialize, ship_package
 from docfathom.sources import messages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -491,7 +491,8 @@ def cached_results(spark, sf_dir):
     asked = results.with_cache_key(fx.vector_queries(spark, sf_dir), "m1")
     hits = similarity.search_topk_batch(docs, asked)
     kept_at = fx.as_of() - F.make_dt_interval(secs=F.col("label") * 30)
-    return docs, asked, results.cache_entries(asked, hits, kept_at)
+    # Kept results are a stored table, not a computation.
+    return docs, asked, materialize(results.cache_entries(asked, hits, kept_at))
 
 
 @query

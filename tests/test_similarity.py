@@ -157,3 +157,17 @@ def test_search_reads_only_what_it_needs(spark, tmp_path):
     scan = next(line for line in text.splitlines() if "FileScan" in line)
     assert "EqualTo(status,indexed)" in scan and "tenant_id" in scan.split("PushedFilters")[1]
     assert "text" not in scan.split("ReadSchema")[1]
+
+
+def test_blocks_of_very_many_cells(spark, monkeypatch):
+    """Beyond the cells whose layout is broadcast, a salted join places the rows."""
+    rng = np.random.default_rng(8)
+    corpus = docs(spark, [(f"d{n}", f"t{n % 4}", rng.normal(size=5)) for n in range(60)])
+    queries = asked(spark, [(f"q{n}", f"t{n % 5}", rng.normal(size=5), 4) for n in range(20)])
+    want = {tuple(r)[:3] for r in search_topk_batch(corpus, queries).collect()}
+    monkeypatch.setattr(similarity, "SENT_CELLS", 0)
+    found = search_topk_batch(corpus, queries, sent_query_bytes=0, block_rows=6)
+    assert {tuple(r)[:3] for r in found.collect()} == want
+    monkeypatch.setattr(similarity, "SENT_QUERY_BYTES", 1 << 20)
+    monkeypatch.setattr(similarity, "FILTERED_CELLS", 0)
+    assert {tuple(r)[:3] for r in search_topk_batch(corpus, queries).collect()} == want
