@@ -152,6 +152,40 @@ folded AS (
   FROM bounds WHERE seq >= first_seq GROUP BY id)
 """
 
+MERGED = """
+log AS (
+  SELECT seq, ts, op, id, 'src' || (user_id % 20) AS tenant_id, 'v' || seq AS text,
+         MAP {'type': event_type} AS metadata, [CAST(value AS FLOAT)] AS embedding,
+         'm' || (seq % 3) AS model
+  FROM changes WHERE op IS NOT NULL
+  UNION ALL
+  SELECT s.seq, CASE WHEN s.seq = -4 THEN created_at ELSE updated_at END, s.op, id, tenant_id,
+         text, metadata, embedding, model
+  FROM corpus JOIN (VALUES (-4, 'ingest'), (-3, 'embed_ok'), (-2, 'ingest'), (-1, 'embed_fail'))
+    AS s(seq, op) ON s.seq = -4 OR (s.seq = -3 AND model IS NOT NULL)
+      OR (s.seq = -2 AND status = 'pending') OR (s.seq = -1 AND status = 'failed')
+  WHERE id IN (SELECT id FROM changes WHERE op IS NOT NULL)),
+alive AS (
+  SELECT *, min(CASE WHEN op = 'ingest' THEN seq END) OVER (PARTITION BY id) AS first_seq,
+         max(CASE WHEN op = 'ingest' THEN seq END) OVER (PARTITION BY id) AS last_seq
+  FROM (SELECT *, max(CASE WHEN op = 'delete' THEN seq END) OVER (PARTITION BY id) AS removed
+        FROM log)
+  WHERE seq > coalesce(removed, -9)),
+merged AS (
+  SELECT id, any_value(tenant_id) AS tenant_id,
+         arg_max(text, seq) FILTER (op = 'ingest') AS text,
+         arg_max(metadata, seq) FILTER (op = 'ingest') AS metadata,
+         arg_max(embedding, seq) FILTER (op = 'embed_ok' AND seq > last_seq) AS embedding,
+         CASE coalesce(arg_max(op, seq) FILTER (seq > last_seq), 'none') WHEN 'none' THEN 'pending'
+           WHEN 'embed_ok' THEN 'indexed' ELSE 'failed' END AS status,
+         arg_max(model, seq) FILTER (op = 'embed_ok') AS model,
+         arg_min(ts, seq) FILTER (op = 'ingest') AS created_at, arg_max(ts, seq) AS updated_at
+  FROM alive WHERE seq >= first_seq GROUP BY id
+  UNION ALL
+  SELECT id, tenant_id, text, metadata, embedding, status, model, created_at, updated_at
+  FROM corpus WHERE id NOT IN (SELECT id FROM changes WHERE op IS NOT NULL))
+"""
+
 WORDS = """
 texts AS ({texts}),
 words AS (
@@ -190,6 +224,19 @@ def given(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
+def dedup(window: str) -> str:
+    return f"""WITH RECURSIVE jobs AS (
+           SELECT DISTINCT CAST(user_id * 10 AS VARCHAR) AS document_id, ts
+           FROM events WHERE event_type = 'click'),
+         accepted AS (
+           SELECT document_id, min(ts) AS ts FROM jobs GROUP BY document_id
+           UNION ALL
+           SELECT a.document_id, min(j.ts) AS ts FROM accepted a
+           JOIN jobs j ON j.document_id = a.document_id AND j.ts >= a.ts + INTERVAL '{window}'
+           GROUP BY a.document_id)
+         SELECT document_id, {moment("ts")} FROM accepted"""
+
+
 ORACLE: dict[str, str] = {
     "corpus_scan": given(CORPUS) + f"SELECT {STATE} FROM corpus",
     "ingest_parse": given(CORPUS)
@@ -317,6 +364,7 @@ ORACLE: dict[str, str] = {
              'm' || (model_seq % 3) AS model, created_at, updated_at
            FROM folded)
          SELECT {STATE} FROM live""",
+    "snapshot_changes": given(CORPUS, CHANGES, MERGED) + f"SELECT {STATE} FROM merged",
     "reembed_candidates": given(CORPUS)
     + "SELECT id AS document_id, tenant_id, model AS old_model FROM corpus WHERE model <> 'm1'",
     "count_pending": given(CORPUS)
@@ -371,16 +419,8 @@ ORACLE: dict[str, str] = {
              ORDER BY round(s, 12) DESC NULLS LAST, CAST(doc_id AS VARCHAR)) AS rank FROM scored)
          SELECT CAST(item_id AS VARCHAR) AS query_id, rank, CAST(doc_id AS VARCHAR) AS id,
            round(s, 6) AS similarity FROM ordered WHERE rank <= 10""",
-    "embed_jobs_dedup": """WITH RECURSIVE jobs AS (
-           SELECT DISTINCT CAST(user_id * 10 AS VARCHAR) AS document_id, ts
-           FROM events WHERE event_type = 'click'),
-         accepted AS (
-           SELECT document_id, min(ts) AS ts FROM jobs GROUP BY document_id
-           UNION ALL
-           SELECT a.document_id, min(j.ts) AS ts FROM accepted a
-           JOIN jobs j ON j.document_id = a.document_id AND j.ts >= a.ts + INTERVAL '5 days'
-           GROUP BY a.document_id)
-         SELECT document_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM accepted""",
+    "embed_jobs_dedup": dedup("5 days"),
+    "embed_jobs_dedup_pieces": dedup("5 hours"),
     "tenant_fifo": given(CLICKS)
     + """SELECT tenant_id, row_number() OVER (PARTITION BY tenant_id ORDER BY ts, event_id)
            AS position, event_id, document_id FROM clicks""",

@@ -336,6 +336,14 @@ def document_lifecycle(spark, sf_dir):
     return state(lifecycle.document_lifecycle(fx.change_log(spark, sf_dir)))
 
 
+@query
+def snapshot_changes(spark, sf_dir):
+    """A snapshot brought up to date by a change log."""
+    return state(
+        lifecycle.apply_changes(fx.corpus(spark, sf_dir), fx.change_log(spark, sf_dir))
+    )
+
+
 @query
 def reembed_candidates(spark, sf_dir):
     return lifecycle.reembed_candidates(fx.corpus(spark, sf_dir), "m1")
@@ -436,6 +444,13 @@ def embed_jobs_dedup(spark, sf_dir):
     )
 
 
+@query
+def embed_jobs_dedup_pieces(spark, sf_dir):
+    """The same with every document's jobs cut into pieces, as for very many jobs."""
+    log = fx.click_jobs(spark, sf_dir)
+    return jobs.dedup_jobs(log, window="5 hours", hot_jobs=1).select("document_id", moment("ts"))
+
+
 @query
 def tenant_fifo(spark, sf_dir):
     return jobs.tenant_fifo(fx.click_jobs(spark, sf_dir)).select(
