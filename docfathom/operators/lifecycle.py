@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docfathom.functions.documents import (
     empty_metadata,
@@ -13,7 +13,7 @@ from docfathom.functions.documents import (
     older_than,
     text_hash,
 )
-from docfathom.operators.spread import latest_per_key, lookup_join
+from docfathom.operators.spread import lookup_join
 from docfathom.schemas import BACKFILL_AGE, EMBED_MAX_ATTEMPTS, FAILED, INDEXED, MAX_TEXT_BYTES, PENDING
 
 BEFORE_ALL = -(1 << 62)
@@ -68,27 +68,40 @@ def orphan_jobs(jobs: DataFrame, corpus: DataFrame) -> DataFrame:
 # -- upsert -----------------------------------------------------------------
 
 
-def split_by_owner(snapshot: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of a batch their tenant may write, and the quarantined others.
+def _claims(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
+    """One row per (id, tenant) of a batch, and whether that tenant owns the id.
 
     An id belongs to the tenant that holds it in the snapshot, else to the first
     tenant that writes it in the batch.
     """
-    claims = batch.groupBy("id", "tenant_id").agg(F.min("seq").alias("first_seq"))
-    first = claims.groupBy("id").agg(F.min_by("tenant_id", "first_seq").alias("claimed_by"))
+    claims = batch.groupBy("id", "tenant_id").agg(
+        F.min("seq").alias("first_seq"),
+        F.max("seq").alias("last_seq"),
+        F.min_by("ts", "seq").alias("first_at"),
+    )
     held = snapshot.select("id", F.col("tenant_id").alias("held_by"))
-    owner = first.join(held, "id", "left").select(
-        "id", F.coalesce("held_by", "claimed_by").alias("tenant_id")
-    )
-    reason = F.when(F.col("owned").isNull(), "tenant_mismatch")
-    # Joining on the tenant too, claims say which (id, tenant) pairs stand.
-    verdict = claims.join(
-        owner.withColumn("owned", F.lit(True)), ["id", "tenant_id"], "left"
-    ).select("id", "tenant_id", reason.alias("reject_reason"))
+    # Sorts the tenants that write one id, not their writes.
+    among = Window.partitionBy("id").orderBy("first_seq")
+    first_claim = F.row_number().over(among) == 1
+    return claims.withColumn("is_first", first_claim).join(held, "id", "left").select(
+        "id",
+        "tenant_id",
+        "last_seq",
+        "first_at",
+        F.col("held_by").isNotNull().alias("is_held"),
+        F.coalesce(F.col("held_by") == F.col("tenant_id"), F.col("is_first")).alias("owned"),
+    )
+
+
+def split_by_owner(snapshot: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of a batch their tenant may write, and the quarantined others."""
+    verdict = _claims(snapshot, batch).select("id", "tenant_id", "owned")
     judged = lookup_join(batch, verdict, ["id", "tenant_id"], F.col("seq"))
     return (
-        judged.filter("reject_reason IS NULL").drop("reject_reason"),
-        judged.filter("reject_reason IS NOT NULL"),
+        judged.filter("owned").drop("owned"),
+        judged.filter("NOT owned")
+        .drop("owned")
+        .withColumn("reject_reason", F.lit("tenant_mismatch")),
     )
 
 
@@ -98,20 +111,21 @@ def upsert_documents(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
     The last accepted version of an id wins. Creation time is that of the first,
     tenant and model stay those of an existing row, and the vector is dropped.
     """
-    accepted, _ = split_by_owner(snapshot, batch)
-    newest = latest_per_key(accepted, ["id"]).select(
+    owned = _claims(snapshot, batch).filter("owned").drop("owned")
+    versions = batch.select(
         "id",
-        F.col("tenant_id").alias("new_tenant"),
+        F.col("seq").alias("last_seq"),
         F.col("text").alias("new_text"),
         F.coalesce("metadata", empty_metadata()).alias("new_metadata"),
         F.col("ts").alias("written_at"),
     )
-    first = accepted.groupBy("id").agg(F.min_by("ts", "seq").alias("first_at"))
-    written = newest.join(first, "id")
-    # Unlike a full outer join, these two let Spark broadcast a small batch, and
-    # the second reads nothing but ids from the snapshot.
+    written = owned.withColumnRenamed("tenant_id", "new_tenant").join(
+        versions, ["id", "last_seq"]
+    )
+    # Unlike a full outer join, a left join lets Spark broadcast a small batch
+    # and leave the snapshot where it is.
     hit = F.col("written_at").isNotNull()
-    rewritten = snapshot.join(written, "id", "left").select(
+    rewritten = snapshot.join(written.filter("is_held"), "id", "left").select(
         "id",
         "tenant_id",
         F.when(hit, F.col("new_text")).otherwise(F.col("text")).alias("text"),
@@ -122,7 +136,7 @@ def upsert_documents(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
         "created_at",
         F.coalesce("written_at", "updated_at").alias("updated_at"),
     )
-    added = written.join(snapshot.select("id"), "id", "left_anti").select(
+    added = written.filter("NOT is_held").select(
         "id",
         F.col("new_tenant").alias("tenant_id"),
         F.col("new_text").alias("text"),
@@ -298,29 +312,43 @@ def document_lifecycle(changes: DataFrame) -> DataFrame:
         F.col("seq") > F.coalesce("removed_seq", F.lit(BEFORE_ALL))
     )
 
-    def where(op: str, column: str = "seq") -> Column:
-        return F.when(F.col("op") == op, F.col(column))
-
-    ingests = since.groupBy("id").agg(
-        F.min(where("ingest")).alias("first_seq"),
-        F.max(where("ingest")).alias("ingest_seq"),
-        F.min_by("ts", where("ingest")).alias("created_at"),
-        F.max_by("ts", where("ingest")).alias("ingested_at"),
-        F.max(where("embed_fail")).alias("fail_seq"),
-        F.max_by("ts", where("embed_fail")).alias("failed_at"),
+    def last(op: str) -> Column:
+        return F.max(F.when(F.col("op") == op, F.col("seq")))
+
+    def last_at(op: str) -> Column:
+        return F.max_by("ts", F.when(F.col("op") == op, F.col("seq")))
+
+    ingest = F.when(F.col("op") == "ingest", F.col("seq"))
+    by_text = since.groupBy("id", "text_hash").agg(
+        F.min(ingest).alias("first_seq"),
+        F.min_by("ts", ingest).alias("created_at"),
+        last("ingest").alias("ingest_seq"),
+        last_at("ingest").alias("ingested_at"),
+        last("embed_fail").alias("fail_seq"),
+        last_at("embed_fail").alias("failed_at"),
+        last("embed_ok").alias("ok_seq"),
+        last_at("embed_ok").alias("ok_at"),
+    )
+    live = (
+        by_text.groupBy("id")
+        .agg(
+            F.min("first_seq").alias("first_seq"),
+            F.min_by("created_at", "first_seq").alias("created_at"),
+            F.max("ingest_seq").alias("ingest_seq"),
+            F.max_by("ingested_at", "ingest_seq").alias("ingested_at"),
+            F.max("fail_seq").alias("fail_seq"),
+            F.max_by("failed_at", "fail_seq").alias("failed_at"),
+            F.max("ok_seq").alias("any_ok_seq"),
+        )
+        .filter("ingest_seq IS NOT NULL")
     )
-    live = ingests.filter("ingest_seq IS NOT NULL")
     contents = changes.filter(F.col("op") == "ingest").select(
         "id", F.col("seq").alias("ingest_seq"), "tenant_id", "text", "metadata"
     )
     live = live.join(contents, ["id", "ingest_seq"])
 
     # The last vector that counts: made after the last ingest, from its text.
-    # ``model`` outlives a re-ingest, so it comes from any vector since creation
-    # (stale ones are normally kept out of the log by whoever writes it).
-    outcomes = since.filter(F.col("op") == "embed_ok").groupBy("id", "text_hash").agg(
-        F.max("seq").alias("ok_seq"), F.max_by("ts", "seq").alias("ok_at")
-    )
+    outcomes = by_text.filter("ok_seq IS NOT NULL").select("id", "text_hash", "ok_seq", "ok_at")
     matching = (
         live.select("id", "ingest_seq", F.md5("text").alias("current_hash"))
         .join(outcomes, "id")
@@ -329,30 +357,32 @@ def document_lifecycle(changes: DataFrame) -> DataFrame:
         .groupBy("id")
         .agg(F.max("ok_seq").alias("ok_seq"), F.max_by("ok_at", "ok_seq").alias("ok_at"))
     )
-    modelled = (
-        outcomes.groupBy("id")
-        .agg(F.max("ok_seq").alias("model_seq"), F.max_by("ok_at", "ok_seq").alias("model_at"))
-        .join(matching, "id", "left")
+    # ``model`` outlives a re-ingest: without such a vector it is that of the
+    # last one since creation.
+    vectors = changes.filter(F.col("op") == "embed_ok").select(
+        "id", F.col("seq").alias("made_seq"), "model", "embedding"
+    )
+    earlier_ok = F.when(F.col("any_ok_seq") > F.col("first_seq"), F.col("any_ok_seq"))
+    live = (
+        live.join(matching, "id", "left")
+        .withColumn("made_seq", F.coalesce(F.col("ok_seq"), earlier_ok))
+        .join(vectors, ["id", "made_seq"], "left")
     )
-    made = changes.filter(F.col("op") == "embed_ok")
-    models = made.select("id", F.col("seq").alias("model_seq"), "model")
-    vectors = made.select("id", F.col("seq").alias("ok_seq"), "embedding")
-    modelled = modelled.join(models, ["id", "model_seq"]).join(vectors, ["id", "ok_seq"], "left")
-
     # GREATEST passes over NULL; outcomes older than the last ingest decide nothing.
     is_failed = F.col("fail_seq") > F.greatest("ingest_seq", "ok_seq")
-    status = F.when(is_failed, FAILED).when(F.col("ok_seq").isNotNull(), INDEXED).otherwise(PENDING)
-    updated_at = F.when(is_failed, F.col("failed_at")).otherwise(F.coalesce("ok_at", "ingested_at"))
-    return live.join(modelled, "id", "left").select(
+    has_vector = F.col("ok_seq").isNotNull()
+    return live.select(
         "id",
         "tenant_id",
         "text",
         F.coalesce("metadata", empty_metadata()).alias("metadata"),
-        "embedding",
-        status.alias("status"),
-        F.when(F.col("model_seq") > F.col("first_seq"), F.col("model")).alias("model"),
+        F.when(has_vector, F.col("embedding")).alias("embedding"),
+        F.when(is_failed, FAILED).when(has_vector, INDEXED).otherwise(PENDING).alias("status"),
+        "model",
         "created_at",
-        updated_at.alias("updated_at"),
+        F.when(is_failed, F.col("failed_at"))
+        .otherwise(F.coalesce("ok_at", "ingested_at"))
+        .alias("updated_at"),
     )
 
 
