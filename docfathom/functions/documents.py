@@ -39,14 +39,14 @@ def ingest_reject_reason(
 ) -> Column:
     """NULL where an ingest request is acceptable. Size counts bytes."""
     return (
-        F.when(F.coalesce(document_id, F.lit("")) == "", "document_id is required")
+        F.when(F.coalesce(document_id, F.lit("")) == "", "missing document_id")
         .when(F.coalesce(text, F.lit("")) == "", "text is empty")
         .when(byte_length(text) > max_bytes, "text is too long")
     )
 
 
 def query_reject_reason(query: Column) -> Column:
-    return F.when(F.coalesce(query, F.lit("")) == "", "query must not be empty")
+    return F.when(F.coalesce(query, F.lit("")) == "", "empty query")
 
 
 def clamp_limit(limit: Column) -> Column:

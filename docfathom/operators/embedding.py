@@ -125,7 +125,7 @@ def call_with_retry(
             vectors = embedder(texts)
         except (RetryableEmbedError, ConnectionError, TimeoutError) as error:
             if attempt == max_attempts:
-                raise RetryableEmbedError(f"embed failed after {attempt} attempts: {error}") from error
+                raise RetryableEmbedError(f"gave up after {attempt} calls: {error}") from error
             delay = EMBED_BASE_DELAY_SECONDS * 2 ** (attempt - 1)
             sleep(delay + random.uniform(0, EMBED_JITTER_SECONDS))
             continue

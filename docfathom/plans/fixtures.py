@@ -147,7 +147,7 @@ def embed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("text_hash"),
         F.when(~failed, F.col("embedding")).alias("embedding"),
         F.lit("m3").alias("model"),
-        F.when(failed, "server error 500").alias("error"),
+        F.when(failed, "status 500").alias("error"),
         F.col("label").alias("attempts_total"),
     )
 

@@ -101,7 +101,7 @@ results AS (
   SELECT CAST(v.vec_id AS VARCHAR) AS id,
          CASE WHEN v.vec_id % 7 = 0 THEN 'stale' ELSE md5(d.text) END AS text_hash,
          CASE WHEN v.vec_id % 11 <> 0 THEN v.embedding END AS embedding,
-         CASE WHEN v.vec_id % 11 = 0 THEN 'server error 500' END AS error,
+         CASE WHEN v.vec_id % 11 = 0 THEN 'status 500' END AS error,
          v.label AS attempts_total
   FROM embeddings v JOIN documents d ON d.doc_id = v.vec_id)
 """
@@ -279,7 +279,7 @@ ORACLE: dict[str, str] = {
     + f"""SELECT id AS document_id, tenant_id FROM corpus
           WHERE {pending('30 minutes')} AND id > '15' ORDER BY id LIMIT 100""",
     "validate_queries": given(TURNS)
-    + """SELECT query_id, CASE WHEN query = '' THEN 'query must not be empty' END AS reject_reason
+    + """SELECT query_id, CASE WHEN query = '' THEN 'empty query' END AS reject_reason
          FROM turns""",
     "search_limit_clamp": given(TURNS)
     + """SELECT query_id, asked, CASE WHEN asked <= 0 THEN 10 WHEN asked > 100 THEN 100

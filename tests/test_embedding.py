@@ -15,7 +15,7 @@ from docfathom.operators.embedding import (
 class Fake:
     """Fails ``failures`` times, then gives 4 values per text, the first telling its place."""
 
-    def __init__(self, failures=0, error=RetryableEmbedError("rate limited (429)")):
+    def __init__(self, failures=0, error=RetryableEmbedError("status 429")):
         self.failures, self.error, self.calls, self.sizes = failures, error, 0, []
 
     def __call__(self, texts):
@@ -32,8 +32,8 @@ def test_success_and_order():
 
 
 @pytest.mark.parametrize("failures, error", [
-    (2, RetryableEmbedError("rate limited (429)")),
-    (1, RetryableEmbedError("server error 500")),
+    (2, RetryableEmbedError("status 429")),
+    (1, RetryableEmbedError("status 500")),
     (1, ConnectionError("reset")),
 ])
 def test_retry(failures, error):
@@ -46,7 +46,7 @@ def test_retry(failures, error):
 
 def test_retry_budget():
     fake, waits = Fake(99), []
-    with pytest.raises(RetryableEmbedError, match="after 5 attempts"):
+    with pytest.raises(RetryableEmbedError, match="after 5 calls"):
         call_with_retry(fake, ["a"], sleep=waits.append)
     assert fake.calls == 5 and len(waits) == 4
 

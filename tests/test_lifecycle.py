@@ -173,5 +173,5 @@ def test_validation_counts_bytes(spark):
     }
     assert reasons == {
         ("1", None), ("2", "text is too long"), ("3", "text is empty"),
-        ("", "document_id is required"), ("4", "text is empty"),
+        ("", "missing document_id"), ("4", "text is empty"),
     }

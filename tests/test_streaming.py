@@ -59,24 +59,24 @@ def collection(spark, tmp_path):
 
 
 def test_from_request_to_search(spark, collection):
-    collection.send(request("1", "dogs playing fetch"), request("2", "earnings"), "{broken", request("3", ""))
-    collection.send(request("1", "dogs playing", minute=1, k="v"), request("9", "dogs", tenant="b"))
+    collection.send(request("1", "red kite in the wind"), request("2", "tide table"), "{broken", request("3", ""))
+    collection.send(request("1", "red kite", minute=1, k="v"), request("9", "kite", tenant="b"))
     collection.ingest()
     docs = collection.documents()
     assert {i: d["status"] for i, d in docs.items()} == {"1": "pending", "2": "pending", "9": "pending"}
-    assert docs["1"]["text"] == "dogs playing" and docs["1"]["metadata"] == {"k": "v"}
+    assert docs["1"]["text"] == "red kite" and docs["1"]["metadata"] == {"k": "v"}
     rejects = spark.read.parquet(f"{collection.root}/rejects").collect()
     assert sorted(r.reject_reason for r in rejects) == ["invalid JSON", "text is empty"]
     collection.embed()
     docs = collection.documents()
     assert {d["status"] for d in docs.values()} == {"indexed"}
     corpus = changelog.current_documents(spark, collection.root)
-    vector = [float(x) for x in HashEmbedder(16)(["dogs playing"])[0]]
+    vector = [float(x) for x in HashEmbedder(16)(["red kite"])[0]]
     found = search_topk(corpus, "a", vector).collect()
     assert [r.id for r in found][0] == "1" and {r.id for r in found} == {"1", "2"}
 
     # A re-ingest hides the document until it is embedded again.
-    collection.send(request("1", "cats", minute=10))
+    collection.send(request("1", "harbour", minute=10))
     collection.ingest()
     assert collection.documents()["1"]["status"] == "pending"
     assert collection.documents()["1"]["model"] == "m1"
