@@ -420,7 +420,7 @@ ORACLE: dict[str, str] = {
          SELECT CAST(item_id AS VARCHAR) AS query_id, rank, CAST(doc_id AS VARCHAR) AS id,
            round(s, 6) AS similarity FROM ordered WHERE rank <= 10""",
     "embed_jobs_dedup": dedup("5 days"),
-    "embed_jobs_dedup_pieces": dedup("5 hours"),
+    "embed_jobs_dedup_pieces": dedup("12 hours"),
     "tenant_fifo": given(CLICKS)
     + """SELECT tenant_id, row_number() OVER (PARTITION BY tenant_id ORDER BY ts, event_id)
            AS position, event_id, document_id FROM clicks""",

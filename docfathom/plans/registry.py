@@ -448,7 +448,7 @@ def embed_jobs_dedup(spark, sf_dir):
 def embed_jobs_dedup_pieces(spark, sf_dir):
     """The same with every document's jobs cut into pieces, as for very many jobs."""
     log = fx.click_jobs(spark, sf_dir)
-    return jobs.dedup_jobs(log, window="5 hours", hot_jobs=1).select("document_id", moment("ts"))
+    return jobs.dedup_jobs(log, window="12 hours", hot_jobs=1).select("document_id", moment("ts"))
 
 
 @query

@@ -70,7 +70,14 @@ def embed_jobs(
             F.to_json(F.array("id", F.col("seq").cast("string"))).alias("id"), "text"
         )
         results = embed_documents(
-            named, embedder, dims, batch_size, max_attempts, partitions, sleep
+            named,
+            embedder,
+            dims,
+            batch_size=batch_size,
+            max_attempts=max_attempts,
+            spread=True,
+            partitions=partitions,
+            sleep=sleep,
         )
         name = F.from_json("id", "array<string>")
         results = results.withColumns({"doc": name[0], "version": name[1].cast("bigint")})
