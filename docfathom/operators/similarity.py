@@ -154,6 +154,7 @@ def nearest_in_cells(
     and a document ever becomes a row: a task multiplies blocks of vectors and
     gives back at most ``limit`` rows per query.
     """
+    queries = queries.filter(F.col("query_vec").isNotNull())
     size = queries.agg(
         F.count("*").alias("rows"),
         F.coalesce(F.sum(F.size("query_vec")), F.lit(0)).alias("floats"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -108,17 +108,20 @@ def start_embedding(
     model: str,
     window: str = DEDUP_WINDOW,
     retention: str = JOB_RETENTION,
+    dedup_by: Sequence[str] = ("document_id", "text_hash"),
     trigger: dict | None = None,
     **options,
 ) -> StreamingQuery:
     """De-duplicate a job stream and run ``embed_jobs`` on it.
 
+    By default a changed text is a new job. With ``document_id`` alone in
+    ``dedup_by`` its job is dropped within ``window``, and is left to a backfill.
     A job counts as done once its outcome is in the log: offsets commit after
     the batch is written. A repeated batch replaces its own outcomes.
     """
     # In a stream this is the time kept with the batch, the same if it is repeated.
     jobs = jobs.withColumn("processed_at", F.current_timestamp())
-    keyed = jobs.withColumn("dedup_id", F.concat_ws(":", "document_id", "text_hash"))
+    keyed = jobs.withColumn("dedup_id", F.concat_ws(":", *dedup_by))
     accepted = dedup_stream(keyed, "dedup_id", window, retention).drop("dedup_id")
     return (
         accepted.writeStream.foreachBatch(
