@@ -13,7 +13,7 @@ from docfathom.functions.documents import (
     older_than,
     text_hash,
 )
-from docfathom.operators.spread import lookup_join
+from docfathom.operators.spread import lookup_join, sent_if_small
 from docfathom.schemas import BACKFILL_AGE, EMBED_MAX_ATTEMPTS, FAILED, INDEXED, MAX_TEXT_BYTES, PENDING
 
 BEFORE_ALL = -(1 << 62)
@@ -43,7 +43,7 @@ def validate_documents(
 
 def get_documents(corpus: DataFrame, requests: DataFrame) -> DataFrame:
     """Documents asked for by ``(id, tenant_id)``; embeddings are not read."""
-    asked = requests.select("id", "tenant_id").distinct()
+    asked = sent_if_small(requests.select("id", "tenant_id").distinct())
     return corpus.drop("embedding").join(asked, ["id", "tenant_id"], "left_semi")
 
 
@@ -54,7 +54,7 @@ def fetch_text(jobs: DataFrame, corpus: DataFrame) -> DataFrame:
     of them is one row there.
     """
     asked = jobs.groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("n_jobs"))
-    return corpus.select("id", "text").join(asked, "id")
+    return corpus.select("id", "text").join(sent_if_small(asked), "id")
 
 
 def orphan_jobs(jobs: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -79,7 +79,8 @@ def _claims(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
         F.max("seq").alias("last_seq"),
         F.min_by("ts", "seq").alias("first_at"),
     )
-    held = snapshot.select("id", F.col("tenant_id").alias("held_by"))
+    named = sent_if_small(claims.select("id").distinct())
+    held = snapshot.select("id", F.col("tenant_id").alias("held_by")).join(named, "id", "left_semi")
     # Sorts the tenants that write one id, not their writes.
     among = Window.partitionBy("id").orderBy("first_seq")
     first_claim = F.row_number().over(among) == 1
@@ -122,10 +123,11 @@ def upsert_documents(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
     written = owned.withColumnRenamed("tenant_id", "new_tenant").join(
         versions, ["id", "last_seq"]
     )
-    # Unlike a full outer join, a left join lets Spark broadcast a small batch
-    # and leave the snapshot where it is.
+    # Unlike a full outer join, a left join lets a small batch be broadcast and
+    # the snapshot stay where it is.
     hit = F.col("written_at").isNotNull()
-    rewritten = snapshot.join(written.filter("is_held"), "id", "left").select(
+    changed = sent_if_small(written.filter("is_held"), F.octet_length("new_text"))
+    rewritten = snapshot.join(changed, "id", "left").select(
         "id",
         "tenant_id",
         F.when(hit, F.col("new_text")).otherwise(F.col("text")).alias("text"),
@@ -190,6 +192,7 @@ def apply_embeddings(corpus: DataFrame, results: DataFrame, as_of: Column) -> Da
             F.col("model").alias("new_model"),
         )
     )
+    good = sent_if_small(good, F.size("new_embedding") * 4)
     joined = corpus.withColumn("text_hash", text_hash(F.col("text"))).join(
         good, ["id", "text_hash"], "left"
     )
@@ -209,7 +212,7 @@ def apply_embeddings(corpus: DataFrame, results: DataFrame, as_of: Column) -> Da
 
 def mark_failed(corpus: DataFrame, failures: DataFrame, as_of: Column) -> DataFrame:
     """Mark documents failed; vector and model stay as they are."""
-    failed = failures.select("id").distinct().withColumn("hit", F.lit(True))
+    failed = sent_if_small(failures.select("id").distinct().withColumn("hit", F.lit(True)))
     hit = F.col("hit").isNotNull()
     return (
         corpus.join(failed, "id", "left")
@@ -223,7 +226,7 @@ def mark_failed(corpus: DataFrame, failures: DataFrame, as_of: Column) -> DataFr
 
 
 def delete_documents(corpus: DataFrame, requests: DataFrame) -> DataFrame:
-    asked = requests.select("id", "tenant_id").distinct()
+    asked = sent_if_small(requests.select("id", "tenant_id").distinct())
     return corpus.join(asked, ["id", "tenant_id"], "left_anti")
 
 
@@ -392,7 +395,7 @@ def apply_changes(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
     Documents no change names pass through. The others are written as the few
     changes that lead to them, numbered below any real ``seq``.
     """
-    named = changes.select("id").distinct()
+    named = sent_if_small(changes.select("id").distinct())
     kept = snapshot.join(named, "id", "left_anti").select(*STATE)
     base = snapshot.join(named, "id", "left_semi")
     steps = F.filter(

@@ -7,6 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SALTS = 16
+# A side this small, as counted, is broadcast to spare the other side a shuffle.
+SENT_ROWS = 500_000
+SENT_BYTES = 64 << 20
+
+
+def sent_if_small(rows: DataFrame, *widths: Column) -> DataFrame:
+    """``rows``, marked for broadcast if counting shows them to be few and narrow.
+
+    ``widths`` give the bytes of a row's long columns. Where one side of a join
+    is a whole collection, the count is what keeps it from being shuffled: Spark
+    cannot tell beforehand how small an aggregated batch will be.
+    """
+    width = sum((F.coalesce(w, F.lit(0)) for w in widths), F.lit(64)).cast("bigint")
+    size = rows.agg(F.count("*").alias("rows"), F.sum(width).alias("bytes")).first()
+    if size.rows <= SENT_ROWS and (size.bytes or 0) <= SENT_BYTES:
+        return F.broadcast(rows)
+    return rows
 
 
 def lookup_join(
