@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docfathom.llm import cuckoo, language, neardup, packing
+from docfathom.llm import cuckoo, language, neardup, packing, surrogates
 from docfathom.llm.text import bound_batches, held_out, table
 from docfathom.session import ship_package
 
@@ -67,3 +67,13 @@ def op6_binary_packing(spark, sf_dir):
 @query
 def op10_minhash_bayes(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
+#: Whoever releases a corpus chooses a key of their own and keeps it.
+SURROGATE_KEY = "example key"
+
+
+@query
+def op3_surrogates(spark, sf_dir):
+    done = surrogates.replace(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    return done.select("row.doc_id", "text", "n_entities", "kinds")
