@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docfathom.llm import cuckoo, language, neardup, packing, surrogates
+from docfathom.llm import bpe, cuckoo, language, neardup, packing, surrogates
 from docfathom.llm.text import bound_batches, held_out, table
 from docfathom.session import ship_package
 
@@ -77,3 +77,17 @@ SURROGATE_KEY = "example key"
 def op3_surrogates(spark, sf_dir):
     done = surrogates.replace(table(spark, sf_dir, "documents"), SURROGATE_KEY)
     return done.select("row.doc_id", "text", "n_entities", "kinds")
+
+
+@query
+def op7_word_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
