@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docfathom.llm import bpe, cuckoo, language, neardup, packing, surrogates
+from docfathom.llm import bpe, cuckoo, language, neardup, packing, secret_scan, surrogates
 from docfathom.llm.text import bound_batches, held_out, table
 from docfathom.session import ship_package
 
@@ -91,3 +91,25 @@ def op7_word_bpe(spark, sf_dir):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op2_secret_ledger(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    ledger = secret_scan.scan_new(docs, path="doc_id")
+    found = secret_scan.findings_by_path(docs, ledger, path="doc_id")
+    spans = F.coalesce("spans", F.array().cast("array<struct<start:long,place:int,end:long,kind:string>>"))
+    base = [r.name for r in secret_scan.BASE_RULES]
+
+    def written(some):
+        return F.array_join(F.transform(some, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+    return found.select(
+        F.col("path").alias("doc_id"),
+        *[count(kind).alias(f"n_{kind}") for kind in base],
+        F.sha2(written(F.filter(spans, lambda x: x["kind"].isin(base))).cast("binary"), 256).alias("base_sha256"),
+        written(spans).alias("spans"),
+    )
