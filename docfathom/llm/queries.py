@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docfathom.llm import bpe, cuckoo, language, neardup, packing, secret_scan, surrogates
+from docfathom.llm import bpe, cuckoo, language, licenses, neardup, packing, secret_scan, surrogates
 from docfathom.llm.text import bound_batches, held_out, table
 from docfathom.session import ship_package
 
@@ -113,3 +113,9 @@ def op2_secret_ledger(spark, sf_dir):
         F.sha2(written(F.filter(spans, lambda x: x["kind"].isin(base))).cast("binary"), 256).alias("base_sha256"),
         written(spans).alias("spans"),
     )
+
+
+@query
+def op8_license_index(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.build_index(docs))
