@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docfathom.llm import bpe, cuckoo, language, licenses, neardup, packing, secret_scan, surrogates
+from docfathom.llm import bpe, cuckoo, language, licenses, neardup, packing, quality, secret_scan, surrogates
 from docfathom.llm.text import bound_batches, held_out, table
 from docfathom.session import ship_package
 
@@ -119,3 +119,12 @@ def op2_secret_ledger(spark, sf_dir):
 def op8_license_index(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return licenses.scan(docs, licenses.build_index(docs))
+
+
+@query
+def op9_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").filter(quality.learns()))
+    return quality.score(docs, model).select(
+        "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted"
+    )
