@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docfathom.llm import bpe, cuckoo, language, licenses, neardup, packing, quality, secret_scan, surrogates
+from docfathom.llm import blockjoin, bpe, cuckoo, language, licenses, neardup, packing, quality, secret_scan, surrogates
 from docfathom.llm.text import bound_batches, held_out, table
 from docfathom.session import ship_package
 
@@ -128,3 +128,9 @@ def op9_quality(spark, sf_dir):
     return quality.score(docs, model).select(
         "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted"
     )
+
+
+@query
+def op5_block_join(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return blockjoin.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
