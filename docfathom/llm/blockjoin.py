@@ -170,7 +170,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, id_column: str = "vec_
         .join(
             query_blocks.select(
                 F.col("block").alias("query_block"),
-                F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("long").alias("group"),
+                F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"),
                 F.col("ids").alias("query_ids"),
                 F.col("vectors").alias("queries"),
             ),
