@@ -186,7 +186,8 @@ def keep_known(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame
     """The rows whose text is in a language the model knows, columns as they were.
 
     Rejected are texts without a letter and those whose best language knows less
-    than the share ``least`` of their trigrams.
+    than the share ``least`` of their trigrams. A model without languages has nothing
+    to say against a text with letters.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -196,7 +197,10 @@ def keep_known(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame
             keep = []
             for a, b in runs([len(t) for t in found], SLICE):
                 names, scores = predict(sent.value, found[a:b])
-                keep += [n != UNDETERMINED and s >= least for n, s in zip(names, scores)]
+                if sent.value.languages:
+                    keep += [n != UNDETERMINED and s >= least for n, s in zip(names, scores)]
+                else:
+                    keep += [any(map(str.isalpha, t)) for t in found[a:b]]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
