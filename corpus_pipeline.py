@@ -7,8 +7,8 @@ teach, that are the best of their exact copies, and the first of their near copi
 personal data in them is replaced, and the last stage packs them.
 
 Nulls, empty texts and repeated rows have the results that the operators state:
-texts without a letter go in the first stage. Without any language label there is
-nothing to judge by, and all rows go. Empty tables stay empty.
+texts without a letter go in the first stage, and without any language label only
+those do. Empty tables stay empty.
 """
 
 from __future__ import annotations
