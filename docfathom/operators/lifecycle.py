@@ -13,8 +13,9 @@ from docfathom.functions.documents import (
     older_than,
     text_hash,
 )
-from docfathom.operators.spread import lookup_join, sent_if_small
+from docfathom.operators.spread import last_before, lookup_join, one_row_each, sent_if_small
 from docfathom.schemas import BACKFILL_AGE, EMBED_MAX_ATTEMPTS, FAILED, INDEXED, MAX_TEXT_BYTES, PENDING
+from docfathom.session import materialize
 
 BEFORE_ALL = -(1 << 62)
 
@@ -60,9 +61,13 @@ def fetch_text(jobs: DataFrame, corpus: DataFrame) -> DataFrame:
 def orphan_jobs(jobs: DataFrame, corpus: DataFrame) -> DataFrame:
     """Jobs whose document is gone, counted per document."""
     asked = jobs.groupBy("document_id").agg(F.count("*").alias("n_jobs"))
-    return asked.join(
-        corpus.select(F.col("id").alias("document_id")), "document_id", "left_anti"
-    )
+    return asked.join(_present(corpus, asked, "document_id"), "document_id", "left_anti")
+
+
+def _present(corpus: DataFrame, asked: DataFrame, name: str) -> DataFrame:
+    """Those of the asked ids that the corpus has. Few are sent to where it lies."""
+    ids = sent_if_small(asked.select(F.col(name).alias("id")).distinct())
+    return corpus.select("id").join(ids, "id", "left_semi").withColumnRenamed("id", name)
 
 
 # -- upsert -----------------------------------------------------------------
@@ -126,7 +131,10 @@ def upsert_documents(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
     # Unlike a full outer join, a left join lets a small batch be broadcast and
     # the snapshot stay where it is.
     hit = F.col("written_at").isNotNull()
-    changed = sent_if_small(written.filter("is_held"), F.octet_length("new_text"))
+    width = [F.octet_length(F.col(c)) for c in ("id", "new_tenant", "new_text")]
+    changed = sent_if_small(
+        written.filter("is_held"), *width, F.octet_length(F.to_json("new_metadata"))
+    )
     rewritten = snapshot.join(changed, "id", "left").select(
         "id",
         "tenant_id",
@@ -159,7 +167,9 @@ def embed_outcomes(
     corpus: DataFrame, results: DataFrame, budget: int = EMBED_MAX_ATTEMPTS
 ) -> DataFrame:
     """What each result ``(id, text_hash, error, attempts_total)`` leads to."""
-    current = corpus.select("id", text_hash(F.col("text")).alias("current_hash"))
+    asked = sent_if_small(results.select("id").distinct())
+    current = corpus.select("id", "text").join(asked, "id", "left_semi")
+    current = current.select("id", text_hash(F.col("text")).alias("current_hash"))
     return (
         results.join(current, "id", "left")
         .withColumn("outcome", _outcome(budget))
@@ -180,12 +190,15 @@ def _outcome(budget: int) -> Column:
 def apply_embeddings(corpus: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
     """Store vectors made from the text a document still has, and mark it indexed.
 
-    A result for an older text, or for a document that is gone, changes nothing.
+    A result for an older text, or for a document that is gone, changes nothing. Of
+    several results for one text every run takes the same one.
     """
     good = (
-        results.filter(F.col("error").isNull() & F.col("embedding").isNotNull())
-        .dropDuplicates(["id", "text_hash"])
-        .select(
+        one_row_each(
+            results.filter(F.col("error").isNull() & F.col("embedding").isNotNull()),
+            ["id", "text_hash"],
+            [F.col("model"), F.col("embedding")],
+        ).select(
             "id",
             "text_hash",
             F.col("embedding").alias("new_embedding"),
@@ -235,10 +248,10 @@ def delete_report(corpus: DataFrame, requests: DataFrame) -> DataFrame:
 
     Of several matching requests the first one does.
     """
+    first = requests.groupBy("id", "tenant_id").agg(F.min("seq").alias("seq"))
     first = (
-        requests.groupBy("id", "tenant_id")
-        .agg(F.min("seq").alias("seq"))
-        .join(corpus.select("id", "tenant_id"), ["id", "tenant_id"], "left_semi")
+        corpus.select("id", "tenant_id")
+        .join(sent_if_small(first), ["id", "tenant_id"])
         .withColumn("deleted", F.lit(True))
     )
     # ``seq`` in the key spreads the requests of one much-deleted id.
@@ -254,8 +267,9 @@ def split_contested(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Changes a tenant may make, and the quarantined others.
 
     An id belongs to the tenant of its first ingest until that tenant deletes
-    it. Only ids written by more than one tenant need their changes walked in
-    order; the walk streams over sorted rows and keeps one owner at a time.
+    it. Of writes at the same ``seq`` that of the smaller tenant comes first. Only
+    ids written by more than one tenant need their changes walked in order; the
+    walk streams over sorted rows and keeps one owner at a time.
     """
     writes = changes.filter(F.col("op").isin("ingest", "delete")).select(
         "id", "seq", "op", "tenant_id"
@@ -265,13 +279,17 @@ def split_contested(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     contested = contested.filter("a <> b").select("id")
     rejected = (
         writes.join(contested, "id", "left_semi")
-        .repartition("id")
-        .sortWithinPartitions("id", "seq")
-        .mapInArrow(_rejected_writes, "id string, seq bigint")
-    )
+        # By an expression: Spark 4.1 drops a repartitioning by the column itself above
+        # a union that seems to have it, and may then read that union's parts locally.
+        .repartition(F.xxhash64("id"))
+        .sortWithinPartitions("id", "seq", "tenant_id", "op")
+        .mapInArrow(_rejected_writes, "id string, seq bigint, op string, tenant_id string")
+        .distinct()
+    )
+    write = ["id", "seq", "op", "tenant_id"]
     return (
-        changes.join(rejected, ["id", "seq"], "left_anti"),
-        changes.join(rejected, ["id", "seq"], "left_semi").withColumn(
+        changes.join(rejected, write, "left_anti"),
+        changes.join(rejected, write, "left_semi").withColumn(
             "reject_reason", F.lit("tenant_mismatch")
         ),
     )
@@ -280,20 +298,17 @@ def split_contested(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _rejected_writes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     current, owner = None, None
     for batch in batches:
-        ids, seqs = [], []
-        for id_, seq, op, tenant in zip(*(column.to_pylist() for column in batch.columns)):
+        refused = []
+        for row, (id_, _, op, tenant) in enumerate(zip(*(column.to_pylist() for column in batch.columns))):
             if id_ != current:
                 current, owner = id_, None
             if op == "ingest" and owner is None:
                 owner = tenant
             elif owner is not None and tenant != owner:
-                ids.append(id_)
-                seqs.append(seq)
+                refused.append(row)
             elif op == "delete":
                 owner = None
-        yield pa.record_batch(
-            [pa.array(ids, pa.string()), pa.array(seqs, pa.int64())], names=["id", "seq"]
-        )
+        yield batch.take(pa.array(refused, pa.int64()))
 
 
 def document_lifecycle(changes: DataFrame) -> DataFrame:
@@ -304,16 +319,27 @@ def document_lifecycle(changes: DataFrame) -> DataFrame:
     ``embed_ok`` only while its ``text_hash``, if given, fits the text),
     ``delete`` removes. One tenant writes an id; see ``split_contested``.
 
-    The fold is taken apart into maxima and minima of ``seq``, which combine
-    before they are shuffled; payloads are then fetched by their unique ``seq``.
+    A change may be delivered more than once: rows of equal id, ``seq`` and ``op``
+    count as one. The fold is taken apart into maxima and minima of ``seq``, which
+    combine before they are shuffled; payloads are then fetched by ``seq``.
     """
     removed = (
         changes.filter(F.col("op") == "delete").groupBy("id").agg(F.max("seq").alias("removed_seq"))
     )
-    slim = changes.filter(F.col("op") != "delete").select("id", "seq", "ts", "op", "text_hash")
+    # A text is known by its hash, so the fold itself does not carry texts.
+    made_from = F.when(F.col("op") == "ingest", F.coalesce(F.md5("text"), F.lit(""))).otherwise(
+        F.col("text_hash")
+    )
+    slim = (
+        changes.filter(F.col("op") != "delete")
+        .select("id", "seq", "ts", "op", made_from.alias("text_hash"))
+        .groupBy("id", "seq", "op", "text_hash")
+        .agg(F.min("ts").alias("ts"))
+    )
     since = lookup_join(slim, removed, ["id"], F.col("seq"), "left").filter(
         F.col("seq") > F.coalesce("removed_seq", F.lit(BEFORE_ALL))
     )
+    since = materialize(since.drop("removed_seq"))
 
     def last(op: str) -> Column:
         return F.max(F.when(F.col("op") == op, F.col("seq")))
@@ -332,6 +358,7 @@ def document_lifecycle(changes: DataFrame) -> DataFrame:
         last("embed_ok").alias("ok_seq"),
         last_at("embed_ok").alias("ok_at"),
     )
+    newest = F.when(F.col("ingest_seq").isNotNull(), F.struct("ingest_seq", "text_hash"))
     live = (
         by_text.groupBy("id")
         .agg(
@@ -341,19 +368,16 @@ def document_lifecycle(changes: DataFrame) -> DataFrame:
             F.max_by("ingested_at", "ingest_seq").alias("ingested_at"),
             F.max("fail_seq").alias("fail_seq"),
             F.max_by("failed_at", "fail_seq").alias("failed_at"),
-            F.max("ok_seq").alias("any_ok_seq"),
+            F.max(newest)["text_hash"].alias("current_hash"),
         )
         .filter("ingest_seq IS NOT NULL")
+        .join(_fitting_outcomes(since), "id", "left")
     )
-    contents = changes.filter(F.col("op") == "ingest").select(
-        "id", F.col("seq").alias("ingest_seq"), "tenant_id", "text", "metadata"
-    )
-    live = live.join(contents, ["id", "ingest_seq"])
 
     # The last vector that counts: made after the last ingest, from its text.
     outcomes = by_text.filter("ok_seq IS NOT NULL").select("id", "text_hash", "ok_seq", "ok_at")
     matching = (
-        live.select("id", "ingest_seq", F.md5("text").alias("current_hash"))
+        live.select("id", "ingest_seq", "current_hash")
         .join(outcomes, "id")
         .filter(F.coalesce("text_hash", "current_hash") == F.col("current_hash"))
         .filter("ok_seq > ingest_seq")
@@ -361,15 +385,26 @@ def document_lifecycle(changes: DataFrame) -> DataFrame:
         .agg(F.max("ok_seq").alias("ok_seq"), F.max_by("ok_at", "ok_seq").alias("ok_at"))
     )
     # ``model`` outlives a re-ingest: without such a vector it is that of the
-    # last one since creation.
+    # last one since creation that was made from the text of its time.
+    earlier_ok = F.when(F.col("fitting_seq") > F.col("first_seq"), F.col("fitting_seq"))
+    live = live.join(matching, "id", "left").withColumn("made_seq", F.coalesce(F.col("ok_seq"), earlier_ok))
+    contents = changes.filter(F.col("op") == "ingest").select(
+        "id",
+        F.col("seq").alias("ingest_seq"),
+        F.coalesce(F.md5("text"), F.lit("")).alias("current_hash"),
+        "tenant_id",
+        "text",
+        "metadata",
+    )
+    written = ["id", "ingest_seq", "current_hash"]
+    live = one_row_each(live.join(contents, written), written, [F.col("tenant_id"), F.to_json("metadata")])
     vectors = changes.filter(F.col("op") == "embed_ok").select(
         "id", F.col("seq").alias("made_seq"), "model", "embedding"
     )
-    earlier_ok = F.when(F.col("any_ok_seq") > F.col("first_seq"), F.col("any_ok_seq"))
-    live = (
-        live.join(matching, "id", "left")
-        .withColumn("made_seq", F.coalesce(F.col("ok_seq"), earlier_ok))
-        .join(vectors, ["id", "made_seq"], "left")
+    live = one_row_each(
+        live.join(vectors, ["id", "made_seq"], "left"),
+        ["id", "made_seq"],
+        [F.col("model"), F.col("embedding")],
     )
     # GREATEST passes over NULL; outcomes older than the last ingest decide nothing.
     is_failed = F.col("fail_seq") > F.greatest("ingest_seq", "ok_seq")
@@ -389,11 +424,30 @@ def document_lifecycle(changes: DataFrame) -> DataFrame:
     )
 
 
-def apply_changes(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
-    """The live documents after ``changes`` to a snapshot, both folded as one log.
+def _fitting_outcomes(since: DataFrame) -> DataFrame:
+    """(id, fitting_seq): the last vector made from the text its document had then.
+
+    A vector that names no text fits. Only documents with one that does need to
+    know which text was there.
+    """
+    is_ok = F.col("op") == "embed_ok"
+    named = since.filter(is_ok & F.col("text_hash").isNotNull()).select("id").distinct()
+    rows = since.join(named, "id", "left_semi").withColumn(
+        "written", F.when(F.col("op") == "ingest", F.col("text_hash"))
+    )
+    told = last_before(rows, "id", "seq", "written", "there", BEFORE_ALL + 9)
+    fits = told.filter(is_ok & F.coalesce(F.col("text_hash") == F.col("there"), F.col("text_hash").isNull()))
+    plain = since.filter(is_ok).join(named, "id", "left_anti")
+    return fits.select("id", "seq").union(plain.select("id", "seq")).groupBy("id").agg(
+        F.max("seq").alias("fitting_seq")
+    )
+
+
+def _one_log(snapshot: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents that no change names, and one log that leads to the others.
 
-    Documents no change names pass through. The others are written as the few
-    changes that lead to them, numbered below any real ``seq``.
+    The log starts with the few changes that make a document of the snapshot,
+    numbered below any real ``seq``. So it also says who owns the id.
     """
     named = sent_if_small(changes.select("id").distinct())
     kept = snapshot.join(named, "id", "left_anti").select(*STATE)
@@ -421,8 +475,22 @@ def apply_changes(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
         F.when(is_vector, F.col("model")).alias("model"),
         F.lit(None).cast("string").alias("text_hash"),
     )
-    log = earlier.unionByName(changes.select(*earlier.columns))
-    return kept.unionByName(document_lifecycle(log))
+    return kept, earlier.unionByName(changes.select(*earlier.columns))
+
+
+def apply_changes(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
+    """The live documents after ``changes`` to a snapshot, both folded as one log.
+
+    Documents no change names pass through. A change by another tenant than the
+    one that has the document, in the snapshot or since, has no effect.
+    """
+    kept, log = _one_log(snapshot, changes)
+    return kept.unionByName(document_lifecycle(split_contested(log)[0]))
+
+
+def refused_changes(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
+    """The changes that ``apply_changes`` sets aside, with their reason."""
+    return split_contested(_one_log(snapshot, changes)[1])[1]
 
 
 def _step(number: int, op: str, moment: str) -> Column:

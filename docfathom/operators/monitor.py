@@ -16,6 +16,9 @@ from docfathom.schemas import (
 )
 
 
+# Steps of duration that a percentile is looked for in.
+STEPS = 4096
+
 def count_pending(corpus: DataFrame, as_of: Column, age: str) -> DataFrame:
     return pending_documents(corpus, as_of, age).agg(F.count("*").alias("n_pending"))
 
@@ -51,14 +54,20 @@ def signal_latency_p99(
     width: str,
     duration: str = "duration_ms",
     limit: float = P99_LIMIT_MS,
-    step: float = 10.0,
+    step: float | None = None,
 ) -> DataFrame:
     """Exact 99th percentile per time window, between the two nearest ranks.
 
-    Equal durations are counted, counts are summed per ``step`` of duration, and
-    only the steps that hold the two ranks are looked into. No task sorts a
-    window's requests, or its distinct durations.
+    Requests without a duration have no rank and are not counted. Equal durations
+    are counted, counts are summed per ``step`` of duration (by default one of
+    ``STEPS`` between the least and the greatest), and only the steps that hold the
+    two ranks are looked into. No task sorts a window's requests, or its distinct
+    durations.
     """
+    log = log.filter(F.col(duration).isNotNull())
+    if step is None:
+        least, most = log.agg(F.min(duration).cast("double"), F.max(duration).cast("double")).first()
+        step = ((most or 0) - (least or 0)) / STEPS or 1.0
     counts = (
         log.groupBy(F.window("ts", width).start.alias("window_start"), F.col(duration).alias("took"))
         .agg(F.count("*").alias("n"))
@@ -119,13 +128,22 @@ def signal_backlog(
     change: str = "change",
     limit: int = BACKLOG_LIMIT,
     buckets: int = BACKLOG_BUCKETS,
+    as_of: Column | None = None,
 ) -> DataFrame:
     """Queue depth at the end of each time bucket, and whether it stayed high.
 
-    The running sum goes over one row per bucket of time, not over the log.
+    Buckets without entries are buckets too: from the first to the last that has
+    any, or to that of ``as_of``. The running sum goes over one row per bucket of
+    time, not over the log.
     """
-    per_bucket = log.groupBy(F.window("ts", width).start.alias("window_start")).agg(
-        F.sum(change).alias("net")
+    found = log.groupBy(F.window("ts", width).start.alias("window_start")).agg(F.sum(change).alias("net"))
+    last = F.max("window_start") if as_of is None else F.greatest(F.max("window_start"), F.window(as_of, width).start)
+    calendar = found.agg(F.min("window_start").alias("first"), last.alias("last")).filter("first IS NOT NULL")
+    calendar = calendar.select(
+        F.explode(F.sequence("first", "last", F.expr(f"INTERVAL {width}"))).alias("window_start")
+    )
+    per_bucket = calendar.join(found, "window_start", "left").withColumn(
+        "net", F.coalesce("net", F.lit(0).cast("bigint"))
     )
     upto = Window.orderBy("window_start")
     recent = upto.rowsBetween(1 - buckets, 0)

@@ -79,3 +79,39 @@ def rank_within(
         .withColumn(name, (F.col("_rank") + F.col("_offset")).cast("bigint"))
         .drop("_chunk", "_rank", "_offset")
     )
+
+
+def one_row_each(rows: DataFrame, keys: Sequence[str], payload: Sequence[Column]) -> DataFrame:
+    """One row of each key; of several, that with the least hash of its payload.
+
+    Deliveries that were repeated leave equal rows, which are told apart by nothing
+    and count once; should they differ, every run picks the same one. A key has as
+    many rows as it was delivered.
+    """
+    order = Window.partitionBy(*keys).orderBy("_pick")
+    numbered = rows.withColumn("_pick", F.xxhash64(*payload)).withColumn("_nth", F.row_number().over(order))
+    return numbered.filter("_nth = 1").drop("_pick", "_nth")
+
+
+def last_before(
+    rows: DataFrame, key: str, order: str, value: str, name: str, floor: int, pieces: int = 64
+) -> DataFrame:
+    """``name``: the last ``value`` that is not NULL before each row of its key.
+
+    A key's rows are cut into pieces of ``order``; only a piece is sorted at once,
+    and the last values of the pieces before it are carried over. Rows up to
+    ``floor`` are a piece of their own.
+    """
+    real = F.when(F.col(order) > floor, F.col(order))
+    bounds = rows.groupBy(key).agg(F.min(real).alias("_lo"), F.max(real).alias("_hi"))
+    share = (F.col(order) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1.0)
+    piece = F.when(F.col(order) > floor, F.floor(share * pieces)).otherwise(-1)
+    cut = lookup_join(rows, bounds, [key], F.col(order)).withColumn("_piece", piece).drop("_lo", "_hi")
+    ends = cut.groupBy(key, "_piece").agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_end")
+    )
+    earlier = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(key, "_piece", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    inside = Window.partitionBy(key, "_piece").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    found = F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_carried"))
+    return cut.join(ends, [key, "_piece"]).withColumn(name, found).drop("_piece", "_carried")

@@ -178,3 +178,15 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(None).cast("string").alias("text_hash"),
         )
     )
+
+
+def contested_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change log with every click and delete made by another tenant."""
+    log = change_log(spark, sf_dir)
+    foreign = (F.col("op") == "delete") | (F.col("metadata")["type"] == "click")
+    return log.join(owners(spark, sf_dir), "id").select(
+        *[
+            F.when(foreign, "other").otherwise(F.col("owner")).alias("tenant_id") if c == "tenant_id" else c
+            for c in log.columns
+        ]
+    )

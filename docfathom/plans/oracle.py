@@ -152,6 +152,11 @@ folded AS (
   FROM bounds WHERE seq >= first_seq GROUP BY id)
 """
 
+# Without what other tenants try.
+OWN_CHANGES = CHANGES.replace("event_type IN ('signup', 'click')", "event_type = 'signup'").replace(
+    "WHEN value >= 60 THEN 'delete' END", "END"
+)
+
 MERGED = """
 log AS (
   SELECT seq, ts, op, id, 'src' || (user_id % 20) AS tenant_id, 'v' || seq AS text,
@@ -364,6 +369,11 @@ ORACLE: dict[str, str] = {
              'm' || (model_seq % 3) AS model, created_at, updated_at
            FROM folded)
          SELECT {STATE} FROM live""",
+    "snapshot_contested": given(CORPUS, OWN_CHANGES, MERGED) + f"SELECT {STATE} FROM merged",
+    "snapshot_quarantine": """SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS id,
+           'other' AS tenant_id, CASE event_type WHEN 'click' THEN 'ingest' ELSE 'delete' END AS op,
+           'tenant_mismatch' AS reject_reason
+         FROM events WHERE event_type = 'click' OR (event_type = 'view' AND value >= 60)""",
     "snapshot_changes": given(CORPUS, CHANGES, MERGED) + f"SELECT {STATE} FROM merged",
     "reembed_candidates": given(CORPUS)
     + "SELECT id AS document_id, tenant_id, model AS old_model FROM corpus WHERE model <> 'm1'",
@@ -383,21 +393,43 @@ ORACLE: dict[str, str] = {
            count(*) AS n_requests, round(quantile_cont(value, 0.99), 6) AS p99,
            quantile_cont(value, 0.99) > 200 AS alert
          FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS w, value FROM events) GROUP BY w""",
+    "signal_latency_p99_unknown": """SELECT strftime(w, '%Y-%m-%d %H:%M:%S.%f') AS window_start,
+           count(value) AS n_requests, round(quantile_cont(value, 0.99), 6) AS p99,
+           quantile_cont(value, 0.99) > 200 AS alert
+         FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS w,
+                 CASE WHEN event_type <> 'error' THEN value END AS value FROM events) GROUP BY w""",
     "signal_error_rate": """SELECT strftime(w, '%Y-%m-%d %H:%M:%S.%f') AS window_start,
            count(*) AS n_calls, count(*) FILTER (failed) AS n_errors,
            round(avg(CAST(failed AS INT)), 6) AS error_rate,
            avg(CAST(failed AS INT)) > 0.05 AS alert
          FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS w, event_type = 'error' AS failed
                FROM events) GROUP BY w""",
-    "signal_backlog": """WITH buckets AS (
+    "signal_backlog": """WITH found AS (
            SELECT date_trunc('day', ts)::TIMESTAMP AS w,
              CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE -1 END) AS BIGINT) AS net
            FROM events WHERE event_type IN ('click', 'purchase') GROUP BY w),
+         buckets AS (
+           SELECT c.w, coalesce(net, 0) AS net FROM (
+             SELECT unnest(generate_series(min(w), max(w), INTERVAL 1 day)) AS w FROM found) c
+           LEFT JOIN found USING (w)),
          depths AS (SELECT *, CAST(sum(net) OVER (ORDER BY w) AS BIGINT) AS depth FROM buckets)
          SELECT strftime(w, '%Y-%m-%d %H:%M:%S.%f') AS window_start, net, depth,
            count(*) FILTER (depth > 5) OVER (ORDER BY w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)
              = 3 AS alert
          FROM depths""",
+    "signal_backlog_minutes": """WITH found AS (
+           SELECT date_trunc('minute', ts)::TIMESTAMP AS w,
+             CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE -1 END) AS BIGINT) AS net
+           FROM events WHERE event_type IN ('click', 'purchase') GROUP BY w),
+         buckets AS (
+           SELECT c.w, coalesce(net, 0) AS net FROM (
+             SELECT unnest(generate_series(min(w), max(w), INTERVAL 1 minute)) AS w FROM found) c
+           LEFT JOIN found USING (w)),
+         depths AS (SELECT *, CAST(sum(net) OVER (ORDER BY w) AS BIGINT) AS depth FROM buckets)
+         SELECT strftime(w, '%Y-%m-%d %H:%M:%S.%f') AS window_start, net, depth,
+           count(*) FILTER (depth > 5) OVER (ORDER BY w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)
+             = 5 AS alert
+         FROM depths""",
     "hash_embedding": given(words(DOC_TEXTS))
     + """SELECT substr(id, 2) AS id, place, round(n / length, 6) AS weight
          FROM counts JOIN lengths USING (id)""",
@@ -451,3 +483,4 @@ ORACLE: dict[str, str] = {
          FROM keyed q LEFT JOIN hits h ON h.query_id = q.query_id
          WHERE q.tenant_id NOT IN (SELECT tenant_id FROM clicks) GROUP BY ALL""",
 }
+ORACLE["lifecycle_replayed"] = ORACLE["document_lifecycle"]

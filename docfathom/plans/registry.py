@@ -344,6 +344,27 @@ def snapshot_changes(spark, sf_dir):
     )
 
 
+@query
+def lifecycle_replayed(spark, sf_dir):
+    """Every change delivered twice leads to what it leads to once."""
+    log = fx.change_log(spark, sf_dir)
+    return state(lifecycle.document_lifecycle(log.union(log)))
+
+
+@query
+def snapshot_contested(spark, sf_dir):
+    """Ingests and deletes by other tenants leave the documents of a snapshot alone."""
+    return state(
+        lifecycle.apply_changes(fx.corpus(spark, sf_dir), fx.contested_log(spark, sf_dir))
+    )
+
+
+@query
+def snapshot_quarantine(spark, sf_dir):
+    refused = lifecycle.refused_changes(fx.corpus(spark, sf_dir), fx.contested_log(spark, sf_dir))
+    return refused.select("seq", "id", "tenant_id", "op", "reject_reason")
+
+
 @query
 def reembed_candidates(spark, sf_dir):
     return lifecycle.reembed_candidates(fx.corpus(spark, sf_dir), "m1")
@@ -381,6 +402,16 @@ def signal_latency_p99(spark, sf_dir):
     )
 
 
+@query
+def signal_latency_p99_unknown(spark, sf_dir):
+    """Requests that failed have no duration."""
+    took = F.when(F.col("event_type") != "error", F.col("value"))
+    found = monitor.signal_latency_p99(fx.events(spark, sf_dir).withColumn("duration_ms", took), "1 day")
+    return found.select(
+        moment("window_start"), "n_requests", F.round("p99", 6).alias("p99"), "alert"
+    )
+
+
 @query
 def signal_error_rate(spark, sf_dir):
     log = fx.events(spark, sf_dir).withColumn("failed", F.col("event_type") == "error")
@@ -398,6 +429,15 @@ def signal_backlog(spark, sf_dir):
     return found.select(moment("window_start"), "net", "depth", "alert")
 
 
+@query
+def signal_backlog_minutes(spark, sf_dir):
+    """Most minutes have no entry, and their depth counts all the same."""
+    change = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "purchase", -1)
+    log = fx.events(spark, sf_dir).withColumn("change", change).filter("change IS NOT NULL")
+    found = monitor.signal_backlog(log, "1 minute", limit=5, buckets=5)
+    return found.select(moment("window_start"), "net", "depth", "alert")
+
+
 # -- embedding --------------------------------------------------------------
 
 

@@ -123,10 +123,9 @@ def emit_backfill(
 
 
 def delete_batch(requests: DataFrame, root: str, batch_id: int) -> None:
-    """Log deletes ``(document_id, tenant_id, ts)``; one per id and tenant remains."""
-    last = requests.groupBy("document_id", "tenant_id").agg(F.max("ts").alias("ts"))
+    """Log deletes ``(document_id, tenant_id, ts)``, every one of them."""
     change = as_change(
-        last,
+        requests.select("document_id", "tenant_id", "ts").distinct(),
         seq=request_seq(F.col("ts"), is_delete=True),
         ts=F.col("ts"),
         op=F.lit("delete"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docfathom.functions.documents import ingest_reject_reason
+from docfathom.operators.spread import latest_per_key, one_row_each
 from docfathom.schemas import CHANGE, CORRUPT, MAX_TEXT_BYTES
 from docfathom.streaming.changelog import changes_path, ingest_change, write_changes
 
@@ -13,7 +14,8 @@ from docfathom.streaming.changelog import changes_path, ingest_change, write_cha
 def ingest_batch(requests: DataFrame, batch_id: int, root: str, max_bytes: int = MAX_TEXT_BYTES):
     """Handle one micro-batch of ``(document_id, tenant_id, text, metadata, ts)``.
 
-    The change is written before its job: a crash in between leaves a pending
+    Every version is logged, so the fold does not depend on how requests fall into
+    batches; only the last of an id and tenant gets a job. The change is written before its job: a crash in between leaves a pending
     document, which a repeated batch or a backfill picks up.
     """
     spark = requests.sparkSession
@@ -27,29 +29,17 @@ def ingest_batch(requests: DataFrame, batch_id: int, root: str, max_bytes: int =
         rejected = checked.filter("reject_reason IS NOT NULL")
         rejected.write.mode("overwrite").parquet(f"{root}/rejects/batch_id={batch_id}")
         valid = ingest_change(checked.filter("reject_reason IS NULL"))
-        write_changes(one_version_each(valid), root, "ingest", batch_id)
+        write_changes(valid, root, "ingest", batch_id)
     finally:
         checked.unpersist()
     emit_logged_jobs(spark, root, batch_id)
 
 
-def one_version_each(changes: DataFrame) -> DataFrame:
-    """The newest version of each id and tenant in a micro-batch.
-
-    Versions that arrived in the same microsecond are told apart by their hash.
-    """
-    keys = ["id", "tenant_id"]
-    newest = changes.groupBy(*keys).agg(F.max("seq").alias("seq"))
-    first = changes.groupBy(*keys, "seq").agg(F.min("text_hash").alias("text_hash"))
-    chosen = newest.join(first, [*keys, "seq"])
-    picked = changes.join(chosen, [*keys, "seq", "text_hash"], "left_semi")
-    return picked.dropDuplicates([*keys, "seq"]).select(*CHANGE.fieldNames())
-
-
 def emit_logged_jobs(spark: SparkSession, root: str, batch_id: int) -> None:
     """Write the jobs of a logged batch, taken from the log itself."""
     logged = spark.read.schema(CHANGE).parquet(changes_path(root, "ingest", batch_id))
-    logged.select(
+    newest = latest_per_key(logged, ["id", "tenant_id"])
+    one_row_each(newest, ["id", "tenant_id"], [F.col("text_hash")]).select(
         F.col("id").alias("document_id"),
         "tenant_id",
         "text_hash",

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -175,3 +176,35 @@ def test_validation_counts_bytes(spark):
         ("1", None), ("2", "text is too long"), ("3", "text is empty"),
         ("", "missing document_id"), ("4", "text is empty"),
     }
+
+
+def test_ownership_and_redelivery(spark):
+    """Owners of a snapshot, equal moments, repeated changes and stale models at once."""
+    base = snapshot(spark, [("1", "a", "mine")])
+    ops = [
+        (1, "ingest", "1", "b", "theirs", None, None),
+        (2, "delete", "1", "b", None, None, None),
+        (3, "ingest", "2", "b", "late", None, None),
+        (3, "ingest", "2", "a", "first", None, None),
+        (4, "ingest", "3", "a", "old", None, None),
+        (5, "embed_ok", "3", None, None, "good", "old"),
+        (6, "ingest", "3", "a", "new", None, None),
+        (7, "embed_ok", "3", None, None, "stale", "old"),
+    ]
+    rows = [
+        (s, START, op, i, t, x, {} if x else None, [1.0] if m else None, m, hashlib.md5(h.encode()).hexdigest() if h else None)
+        for s, op, i, t, x, m, h in ops
+    ]
+    changes = spark.createDataFrame(
+        rows + rows,
+        "seq long, ts timestamp, op string, id string, tenant_id string, text string, "
+        "metadata map<string,string>, embedding array<float>, model string, text_hash string",
+    )
+    live = lifecycle.apply_changes(base, changes).collect()
+    assert sorted((r.id, r.tenant_id, r.text, r.status, r.model) for r in live) == [
+        ("1", "a", "mine", "indexed", "m0"),
+        ("2", "a", "first", "pending", None),
+        ("3", "a", "new", "pending", "good"),
+    ]
+    refused = {(r.seq, r.id, r.tenant_id) for r in lifecycle.refused_changes(base, changes).collect()}
+    assert refused == {(1, "1", "b"), (2, "1", "b"), (3, "2", "b")}
