@@ -13,20 +13,10 @@ from docfathom.functions.vectors import dot, list_matrix
 from docfathom.operators.similarity import nearest_in_cells, searchable
 from docfathom.session import materialize
 
-# Vectors per cell that settle its centre; more do not move it noticeably.
-TRAIN_ROWS_PER_CELL = 256
-
 
 def train_cells(corpus: DataFrame, cells: int = 32, seed: int = 7) -> np.ndarray:
-    """Centres of ``cells`` clusters of the corpus vectors (a bounded matrix).
-
-    Only the centres come from a sample; every document is then placed.
-    """
+    """Centres of ``cells`` clusters of all the corpus vectors (a bounded matrix)."""
     vectors = searchable(corpus).filter("embedding IS NOT NULL").select("embedding")
-    total = vectors.count()
-    share = min(1.0, cells * TRAIN_ROWS_PER_CELL / max(1, total))
-    if share < 1.0:
-        vectors = vectors.sample(share, seed)
     # A zero vector has no direction to train on.
     vectors = vectors.filter(dot(F.col("embedding"), F.col("embedding")) > 0)
     training = materialize(vectors.select(array_to_vector(F.col("embedding")).alias("features")))
@@ -51,7 +41,9 @@ def nearest_cells(vector: Column, centres: np.ndarray, nprobe: int = 1) -> Colum
 
 
 def cell_of(tenant_id: str, number: str) -> Column:
-    return F.concat_ws("|", F.col(number).cast("string"), F.col(tenant_id)).alias("cell")
+    """A name that no other tenant's cell has. Vectors that fit no centre have NULL
+    for their number, and so a cell of their own in each tenant."""
+    return F.to_json(F.array(F.col(tenant_id), F.col(number).cast("string"))).alias("cell")
 
 
 def search_ann(
@@ -71,7 +63,7 @@ def search_ann(
         .select(cell_of("tenant_id", "number"), "id", "embedding")
     )
     wanted = (
-        queries.withColumn("number", F.explode(nearest_cells(F.col("query_vec"), centres, nprobe)))
+        queries.withColumn("number", F.explode_outer(nearest_cells(F.col("query_vec"), centres, nprobe)))
         .select(
             "query_id",
             cell_of("tenant_id", "number"),

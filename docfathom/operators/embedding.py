@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from docfathom.functions.documents import text_hash
-from docfathom.operators.similarity import search_topk_batch
+from docfathom.operators.similarity import search_topk_batch, split_queries
 from docfathom.schemas import (
     EMBED_BASE_DELAY_SECONDS,
     EMBED_BATCH_SIZE,
@@ -230,19 +230,35 @@ def _slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         yield pa.concat_batches(waiting)
 
 
+def embed_queries(
+    queries: DataFrame, embedder: Embedder, dims: int | None = None, **options
+) -> tuple[DataFrame, DataFrame]:
+    """Queries with their vector, and the others with the reason they have none.
+
+    Equal texts are embedded once. The vectors are written before they are used,
+    so the embedder is not called again by later steps.
+    """
+    valid, rejected = split_queries(queries)
+    texts = valid.select(F.col("query").alias("text")).distinct()
+    texts = texts.withColumn("id", text_hash(F.col("text")))
+    vectors = materialize(embed_documents(texts, embedder, dims, **options))
+    found = vectors.select(
+        F.col("id").alias("query_hash"),
+        F.col("embedding").alias("query_vec"),
+        F.col("error").alias("reject_reason"),
+    )
+    answered = valid.withColumn("query_hash", text_hash(F.col("query"))).join(found, "query_hash")
+    failed = answered.filter("reject_reason IS NOT NULL").select(*rejected.columns)
+    return answered.filter("reject_reason IS NULL").drop("reject_reason"), rejected.unionByName(failed)
+
+
 def search_text_topk(
     corpus: DataFrame, queries: DataFrame, embedder: Embedder, dims: int | None = None, **options
 ) -> DataFrame:
     """Top-k for queries ``(query_id, tenant_id, query, limit)`` given as text.
 
-    Equal texts are embedded once. The vectors are written before they are
-    used, so the embedder is not called again by later steps.
+    Empty queries, and those the embedder fails on, have no hits; ``embed_queries``
+    names them.
     """
-    texts = queries.select(F.col("query").alias("text")).distinct()
-    texts = texts.withColumn("id", text_hash(F.col("text")))
-    vectors = materialize(embed_documents(texts, embedder, dims))
-    found = vectors.filter("error IS NULL").select(
-        F.col("id").alias("query_hash"), F.col("embedding").alias("query_vec")
-    )
-    asked = queries.withColumn("query_hash", text_hash(F.col("query")))
-    return search_topk_batch(corpus, asked.join(found, "query_hash").drop("query"), **options)
+    asked, _ = embed_queries(queries, embedder, dims)
+    return search_topk_batch(corpus, asked.drop("query"), **options)

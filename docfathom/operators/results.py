@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docfathom.functions.documents import clamp_limit, query_fingerprint, sorted_metadata
 from docfathom.operators.similarity import search_topk_batch
+from docfathom.operators.spread import one_row_each
 from docfathom.schemas import CACHE_TTL_SECONDS
 
 
@@ -90,6 +91,18 @@ def fresh_entries(cache: DataFrame, as_of: Column, ttl_seconds: int = CACHE_TTL_
     return cache.filter(F.col("cached_at") > as_of - F.make_dt_interval(secs=F.lit(ttl_seconds)))
 
 
+def latest_entries(cache: DataFrame) -> DataFrame:
+    """One entry per key: the latest, and of equal moments every run takes the same."""
+    newest = cache.groupBy("cache_key").agg(F.max("cached_at").alias("cached_at"))
+    rows = cache.join(newest, ["cache_key", "cached_at"], "left_semi")
+    return one_row_each(rows, ["cache_key"], [F.to_json(F.struct("results"))])
+
+
+def put_results(cache: DataFrame, entries: DataFrame) -> DataFrame:
+    """The cache with new entries, each in place of any older one of its key."""
+    return latest_entries(cache.unionByName(entries))
+
+
 def cached_search(
     corpus: DataFrame,
     queries: DataFrame,
@@ -100,9 +113,10 @@ def cached_search(
 ) -> DataFrame:
     """Search, reusing results not older than ``ttl_seconds``.
 
-    Only the queries without such results are searched.
+    Only the queries without such results are searched. Of several entries of one
+    key the latest counts.
     """
-    fresh = fresh_entries(cache, as_of, ttl_seconds).select("cache_key", "results")
+    fresh = latest_entries(fresh_entries(cache, as_of, ttl_seconds)).select("cache_key", "results")
     hits = (
         queries.select("query_id", "cache_key")
         .join(fresh, "cache_key")

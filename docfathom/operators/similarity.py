@@ -70,7 +70,9 @@ def search_topk(
     """The ``limit`` documents of one tenant nearest to one query vector.
 
     Each partition keeps ``limit`` rows and one task merges them, so nothing but
-    those rows is shuffled. ``arrow=False`` scores with column expressions.
+    those rows is shuffled. Only ids and vectors are read for that; the other columns
+    are fetched for the documents found. ``arrow=False`` scores with column
+    expressions.
     """
     limit = DEFAULT_LIMIT if limit <= 0 else min(limit, MAX_LIMIT)
     vector = [float(x) for x in query_vec]
@@ -78,13 +80,10 @@ def search_topk(
         similarity = similarity_to(vector)(F.col("embedding"))
     else:
         similarity = cosine_similarity(F.col("embedding"), F.lit(vector))
-    return (
-        searchable(corpus, tenant_id)
-        .withColumn("similarity", similarity)
-        .drop("embedding")
-        .orderBy(*ranked_order())
-        .limit(limit)
-    )
+    docs = searchable(corpus, tenant_id)
+    best = docs.select("id", similarity.alias("similarity")).orderBy(*ranked_order()).limit(limit)
+    # At most MAX_LIMIT rows are sent.
+    return docs.drop("embedding").join(F.broadcast(best), "id").orderBy(*ranked_order())
 
 
 def split_queries(queries: DataFrame, text: str = "query") -> tuple[DataFrame, DataFrame]:

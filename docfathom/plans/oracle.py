@@ -484,3 +484,8 @@ ORACLE: dict[str, str] = {
          WHERE q.tenant_id NOT IN (SELECT tenant_id FROM clicks) GROUP BY ALL""",
 }
 ORACLE["lifecycle_replayed"] = ORACLE["document_lifecycle"]
+ORACLE["cached_search_merged"] = ORACLE["cached_search"]
+ORACLE["search_text_rejects"] = """
+SELECT CAST(item_id AS VARCHAR) AS query_id, 'src' || (item_id % 20) AS tenant_id,
+  CASE WHEN item_id % 7 = 0 OR text = '' THEN 'empty query' ELSE 'cannot embed' END AS reject_reason
+FROM benchmark WHERE item_id % 7 = 0 OR text = '' OR length(text) % 3 = 0"""

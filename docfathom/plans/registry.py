@@ -11,7 +11,9 @@ from docfathom.functions.vectors import cosine_distance, quantized
 from docfathom.operators import ann, jobs, lifecycle, monitor, results, similarity
 from docfathom.operators.embedding import (
     HashEmbedder,
+    PermanentEmbedError,
     embed_documents,
+    embed_queries,
     hash_weights,
     search_text_topk,
 )
@@ -474,6 +476,22 @@ def search_text_topk_all(spark, sf_dir):
     )
 
 
+def picky_embedder(texts):
+    """Fails on texts whose length in characters is divisible by three."""
+    if any(len(text) % 3 == 0 for text in texts):
+        raise PermanentEmbedError("cannot embed")
+    return HashEmbedder(DIMS)(texts)
+
+
+@query
+def search_text_rejects(spark, sf_dir):
+    """Empty queries and those that cannot be embedded, with the reason."""
+    blank = F.when(F.col("query_id").cast("long") % 7 != 0, F.col("query"))
+    asked = fx.text_queries(spark, sf_dir).withColumn("query", blank)
+    _, rejected = embed_queries(asked, picky_embedder, DIMS)
+    return rejected.select("query_id", "tenant_id", "reject_reason")
+
+
 # -- jobs -------------------------------------------------------------------
 
 
@@ -556,6 +574,15 @@ def cached_search(spark, sf_dir):
     return shown(results.cached_search(docs, asked, cache, fx.as_of()), "from_cache")
 
 
+@query
+def cached_search_merged(spark, sf_dir):
+    """Every entry is kept twice, an hour apart; the later one answers, once."""
+    docs, asked, cache = cached_results(spark, sf_dir)
+    older = cache.withColumn("cached_at", F.col("cached_at") - F.make_dt_interval(hours=F.lit(1)))
+    merged = results.put_results(older, cache.union(older))
+    return shown(results.cached_search(docs, asked, merged, fx.as_of()), "from_cache")
+
+
 @query
 def invalidate_tenants(spark, sf_dir):
     _, _, cache = cached_results(spark, sf_dir)
