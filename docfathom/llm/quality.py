@@ -78,6 +78,19 @@ def shapes(raw: bytes, known: Buckets) -> np.ndarray:
     return _buckets(raw.translate(SHAPE, SMALL).split(), known)
 
 
+def _squeezed(sums: np.ndarray) -> bytes:
+    """Sums of +1 and -1, compressed: a task over few words sends little."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(sums.astype("<i8").tobytes())
+
+
+def _unsqueezed(sums: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(sums), "<i8")
+
+
 def _contexts(batches):
     """A task's sums of neighbours' index vectors, in chunks of buckets."""
     vectors, known = index_vectors(), known_buckets()
@@ -101,7 +114,7 @@ def _contexts(batches):
                 sums[keys] += np.add.reduceat(around[order], starts, axis=0)
     used = [c for c in range(0, BUCKETS, CHUNK) if sums[c : c + CHUNK].any()]
     yield pa.RecordBatch.from_arrays(
-        [pa.array(used, pa.int32()), pa.array([sums[c : c + CHUNK].tobytes() for c in used], pa.binary())],
+        [pa.array(used, pa.int32()), pa.array([_squeezed(sums[c : c + CHUNK]) for c in used], pa.binary())],
         ["chunk", "sums"],
     )
 
@@ -110,10 +123,10 @@ def _add_up(batches):
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, sums in zip(batch.column("chunk").to_pylist(), batch.column("sums").to_pylist()):
-            own = np.frombuffer(sums, np.float32).astype(np.float64)
+            own = _unsqueezed(sums)
             total[chunk] = total[chunk] + own if chunk in total else own
     yield pa.RecordBatch.from_arrays(
-        [pa.array(list(total), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in total.values()], pa.binary())],
+        [pa.array(list(total), pa.int32()), pa.array([_squeezed(v) for v in total.values()], pa.binary())],
         ["chunk", "sums"],
     )
 
@@ -129,7 +142,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     partial = partial.repartition("chunk", "part").select("chunk", "sums").mapInArrow(_add_up, schema)
     vectors = np.zeros((BUCKETS, DIMS))
     for row in partial.repartition("chunk").mapInArrow(_add_up, schema).collect():
-        vectors[row.chunk : row.chunk + CHUNK] += np.frombuffer(row.sums, np.float32).reshape(-1, DIMS)
+        vectors[row.chunk : row.chunk + CHUNK] += _unsqueezed(row.sums).reshape(-1, DIMS)
     return (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
