@@ -90,6 +90,7 @@ def test_encoding_equals_tiktoken_and_decodes(make, wild, odd, monkeypatch):
     exact = tiktoken.Encoding("x", pat_str=PATTERN, mergeable_ranks=bpe.ranks(path), special_tokens={})
     for block_bytes in (bpe.BLOCK_BYTES, 2000):
         monkeypatch.setattr(bpe, "BLOCK_BYTES", block_bytes)
+        monkeypatch.setattr(bpe, "SLICE_BYTES", block_bytes)
         rows = bpe.decode(bpe.encode(make(wild), path, PATTERN), path).collect()
         assert len(rows) == len(wild)
         for r in rows:
@@ -101,6 +102,18 @@ def test_encoding_equals_tiktoken_and_decodes(make, wild, odd, monkeypatch):
     assert bpe.encode(make([]), path, PATTERN).count() == 0
 
 
+def test_a_block_that_was_dealt_otherwise_is_noticed():
+    raws = [b"one two, three two", b"four  one"]
+    words = bpe.BlockWords(PATTERN, 3)
+    words.read(raws)
+    sums = {at: zlib.crc32(b"".join(own)) for at, own in words.slices.items()}
+    same = bpe.BlockIds(3, words.slices)
+    assert bpe._put_together(raws, PATTERN, same) == raws and same.sums == sums
+    other = bpe.BlockIds(3, words.slices)
+    bpe._put_together(raws[::-1], PATTERN, other)
+    assert other.sums != sums
+
+
 def test_bpe_query(spark, sf_dir):
     path = vocabulary("byte_bpe_50k.tiktoken")
     exact = tiktoken.Encoding("x", pat_str=PATTERN, mergeable_ranks=bpe.ranks(path), special_tokens={})
