@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docfathom.functions.documents import interval, older_than
-from docfathom.operators.spread import rank_within
+from docfathom.operators.spread import rank_within, sent_if_small
 from docfathom.schemas import DEDUP_WINDOW, JOB_RETENTION
 
 # Ids with more jobs than this are walked in several pieces at once.
@@ -40,10 +40,12 @@ def dedup_jobs(
     then walked side by side.
     """
     width = window_micros(window)
+    if width <= 0:
+        raise ValueError("the window has to be longer than nothing")
     times = jobs.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
 
-    # At most (rows / hot_jobs) keys can be hot, so this side stays small.
-    hot = F.broadcast(times.groupBy(key).count().filter(F.col("count") > hot_jobs).select(key))
+    hot = times.groupBy(key).count().filter(F.col("count") > hot_jobs).select(key)
+    hot = sent_if_small(hot, F.octet_length(F.col(key).cast("string")))
     calm = (
         times.join(hot, key, "left_anti")
         .repartition(key)

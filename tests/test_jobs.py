@@ -92,3 +92,8 @@ def test_emitted_jobs_can_be_parsed(spark, tmp_path):
     for _ in range(2):
         messages.write_jobs(frame, str(tmp_path / "jobs"))
     assert spark.read.json(str(tmp_path / "jobs")).count() == 2
+
+
+def test_a_window_has_to_have_a_length(spark):
+    with pytest.raises(ValueError):
+        job_ops.dedup_jobs(spark.createDataFrame([], "document_id string, ts timestamp"), window="0 seconds")
