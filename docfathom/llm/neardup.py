@@ -8,7 +8,8 @@
 3. Comparing goes batch by batch of hashes. With a uniform prior, m matches of n
    hashes give similarity a Beta(m+1, n-m+1) posterior; a pair is dropped as soon
    as its chance of reaching the threshold is below the miss probability.
-4. Survivors are confirmed on their full sets, and links joined to components.
+4. Survivors are confirmed on their full sets, and links joined to components. In
+   each further round two components that share a group are compared by one pair.
 5. Groups whose members are still in several components are compared across
    components, in tiles of bounded size, in the same two steps. So every candidate
    pair has been compared or is connected otherwise, and a huge group of near
@@ -47,6 +48,8 @@ MISS = 1e-7
 #: Shingles, and signatures, that a tile is planned for on each side.
 TILE_SHINGLES = 1 << 17
 TILE_ROWS = 64
+#: Rounds that compare components by one pair each, before tiles compare the rest.
+STAR_ROUNDS = 2
 #: Distinct words whose hashes a worker keeps.
 KNOWN_WORDS = 400_000
 
@@ -223,6 +226,14 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def with_components(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, node, comp): members with their component so far, at first themselves."""
+    known = found.withColumnRenamed("component", "known")
+    return members.select("bucket", "node").join(known, "node", "left").select(
+        "bucket", "node", F.coalesce("known", "node").alias("comp")
+    )
+
+
 class Similar:
     """One run over ``docs``: its parameters, and the tables that its steps share."""
 
@@ -275,9 +286,9 @@ class Similar:
 
         return wanted.mapInArrow(run, "node long, shingles binary")
 
-    def star_links(self, members: DataFrame) -> DataFrame:
-        """Confirmed links (a, b) of each node with the leader of most of its groups."""
-        pairs = (
+    def leaders_of(self, members: DataFrame) -> DataFrame:
+        """(node, leader): the leader of most of a node's groups."""
+        return (
             members.filter("node <> leader")
             .groupBy("node", "leader")
             .agg(F.count("*").alias("n"))
@@ -285,6 +296,32 @@ class Similar:
             .agg(F.max(F.struct("n", (-F.col("leader")).alias("least"))).alias("best"))
             .select("node", (-F.col("best.least")).alias("leader"))
         )
+
+    def leaders_of_components(self, members: DataFrame, found: DataFrame) -> DataFrame:
+        """(node, leader): one pair for two components that share a group.
+
+        In each group every component is stood for by its smallest node there, and
+        compared with the smallest of all. Of the pairs of two components that with
+        most groups counts.
+        """
+        stand_ins = with_components(members, found).groupBy("bucket", "comp").agg(F.min("node").alias("node"))
+        first = stand_ins.groupBy("bucket").agg(
+            F.count("*").alias("comps"), F.min(F.struct("node", "comp")).alias("first")
+        )
+        first = first.filter("comps > 1").select("bucket", "first.node", "first.comp").toDF("bucket", "leader", "led")
+        return (
+            stand_ins.join(first, "bucket")
+            .filter("comp <> led")
+            .groupBy("comp", "led", "node", "leader")
+            .agg(F.count("*").alias("n"))
+            .groupBy("comp", "led")
+            .agg(F.max(F.struct("n", "node", "leader")).alias("best"))
+            .select("best.node", "best.leader")
+            .distinct()
+        )
+
+    def star_links(self, pairs: DataFrame) -> DataFrame:
+        """Confirmed links (a, b) among pairs (node, leader)."""
         signed = self.classes.select("node", "signature", "n_shingles")
         both = pairs.join(signed, "node").join(
             signed.select(F.col("node").alias("leader"), F.col("signature").alias("leads")), "leader"
@@ -335,10 +372,7 @@ class Similar:
 
     def cross_links(self, members: DataFrame, found: DataFrame) -> DataFrame:
         """Confirmed links between components that share a group."""
-        known = found.withColumnRenamed("component", "known")
-        own = members.select("bucket", "node").join(known, "node", "left").select(
-            "bucket", "node", F.coalesce("known", "node").alias("comp")
-        )
+        own = with_components(members, found)
         counts = own.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
         # The largest component of a group, and how many rows are outside it.
         split = (
@@ -428,9 +462,11 @@ class Similar:
 
     def result(self) -> DataFrame:
         members = self.members()
-        stars = materialize(self.star_links(members))
-        more = self.cross_links(members, components(stars))
-        found = components(stars.union(more))
+        links = materialize(self.star_links(self.leaders_of(members)))
+        for _ in range(STAR_ROUNDS):
+            pairs = self.leaders_of_components(members, components(links))
+            links = materialize(links.union(self.star_links(pairs)))
+        found = components(links.union(self.cross_links(members, components(links))))
         classes = self.classes.join(found, "node", "left").select(
             "set_id", F.coalesce("component", "node").alias("component")
         )
