@@ -47,9 +47,9 @@ LOOK = 28
 MISS = 1e-7
 #: Shingles, and signatures, that a tile is planned for on each side.
 TILE_SHINGLES = 1 << 17
-TILE_ROWS = 64
+TILE_ROWS = 256
 #: Rounds that compare components by one pair each, before tiles compare the rest.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 #: Distinct words whose hashes a worker keeps.
 KNOWN_WORDS = 400_000
 
