@@ -2,7 +2,11 @@
 
 Detected are e-mail addresses, IPv4 addresses, payment cards (network prefix and
 check digit have to be right), social security numbers, telephone numbers and names
-after an honorific. Mentions of one entity (letter case and separators aside) get
+after an honorific. Telephone numbers have separators, an area in brackets or a
+leading plus; a bare run of digits is taken for any other number. Numbers that stand
+in a row are searched by kind: cards in their usual groups first, then social security
+and telephone numbers, so that a number in front of an entity does not hide it. Cards
+in other groups count where nothing stands in front. Mentions of one entity (letter case and separators aside) get
 one surrogate everywhere, so coreference stays; a surrogate depends on the key, the
 kind and the entity alone.
 
@@ -30,17 +34,43 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 MALE = ["Mr", "Herr", "Señor", "Monsieur", "Господин"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Госпожа"]
 HONORIFIC = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(MALE + FEMALE)})\.?\x20"
+ADDRESS = rf"(?:{OCTET}\.){{3}}{OCTET}(?!\w|\.\d)"
+#: Three, three and four digits, or any two to four, three to four and three to four in
+#: which no address, no mail and no number of the usual form begins later.
+USUAL_PHONE = r"\d{3}[\x20.-]\d{3}[\x20.-]\d{4}(?!\w)"
+MAIL_AHEAD = r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]"
+LATER = rf"(?!{ADDRESS}|{USUAL_PHONE}|{MAIL_AHEAD})"
+ANY_PHONE = rf"\d{{2,4}}[\x20.-]{LATER}\d{{3,4}}[\x20.-]{LATER}\d{{3,4}}(?!\w)"
+SSN_DIGITS = r"\d{3}-\d{2}-\d{4}(?![\w-])"
+#: Numbers with single spaces or hyphens between them, up to where a mail, an address or
+#: a telephone number with dots begins.
+GROUP = rf"(?!{MAIL_AHEAD}|{ADDRESS}|\d{{2,4}}(?:\.\d{{3,4}}[\x20.-]|[\x20-]\d{{3,4}}\.)\d{{3,4}}(?!\w))\d++(?!\w)"
+CHAIN = (
+    rf"(?<![\w+])(?!(?<=-){SSN_DIGITS})(?=\d(?:[\x20-]?\d){{6}}){GROUP}(?:[\x20-]{GROUP})*+-?+"
+)
 #: In this order; the first kind that matches at a place takes it.
 PATTERN = "|".join(
     [
         r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-        rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?!\w|\.\d)",
-        r"(?<![\w+])\d(?:[\x20-]?\d){12,18}(?!\w)",
-        r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-        r"(?<![\w+])(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{2,4}\)[\x20.-]?|\d{2,4}[\x20.-])\d{3,4}[\x20.-]\d{3,4}(?!\w)",
+        rf"(?<![\w.]){ADDRESS}",
+        CHAIN,
+        r"(?<![\w+])\+1[\x20.-]?(?:\(\d{3}\)|\d{3})[\x20.-]?\d{3}[\x20.-]?\d{4}(?!\w)",
+        r"(?<![\w+])(?:\+\d{1,3}[\x20.-]?)?\(\d{2,4}\)[\x20.-]?(?:\d{3,4}[\x20.-]\d{3,4}|\d{6,8})(?!\w)",
+        rf"(?<![\w+])(?:\+\d{{1,3}}[\x20.-]?)?{ANY_PHONE}",
+        r"(?<![\w+])\+\d(?:[\x20.()-]{0,2}\d){6,14}(?!\w)",
         HONORIFIC + r"\p{Lu}[\p{L}'’-]+(?:\x20\p{Lu}[\p{L}'’-]+){0,2}",
     ]
 )
+#: How cards are written; longer forms first.
+CARD_FORMS = [
+    r"\d{13,19}",
+    # The last three digits may instead begin a number of another kind.
+    rf"\d{{4}}(?:[\x20-]\d{{4}}){{3}}[\x20-](?!{USUAL_PHONE}|{SSN_DIGITS})\d{{3}}",
+    r"\d{4}(?:[\x20-]\d{4}){3}",
+    r"\d{4}[\x20-]\d{6}[\x20-]\d{5}",
+    r"\d{4}[\x20-]\d{6}[\x20-]\d{4}",
+]
+ANY_CARD = r"(?<!\w)\d(?:[\x20-]?\d){12,18}(?!\w)"
 #: What a text has to hold before it is searched.
 HINT = rf"[@0-9]|{HONORIFIC}"
 EMAIL, IP, CARD, SSN, PHONE, NAME = KINDS = ("email", "ip", "card", "ssn", "phone", "name")
@@ -89,20 +119,83 @@ def luhn_sum(number: Column) -> Column:
     return F.aggregate(places, F.lit(0), add)
 
 
-def kind_of(mention: Column) -> Column:
-    """The kind of what PATTERN found, null where a check shows it is no such thing."""
+def is_card(mention: Column) -> Column:
     number = digits(mention)
-    card = number.rlike("^(?:3|4|5|6|2[2-7])") & (luhn_sum(number) % 10 == 0)
+    return number.rlike("^(?:3|4|5|6|2[2-7])") & (luhn_sum(number) % 10 == 0)
+
+
+def kind_of(mention: Column) -> Column:
+    """The kind of what PATTERN found, other than a CHAIN."""
     return (
         F.when(mention.contains("@"), EMAIL)
         .when(mention.rlike(rf"^(?:{OCTET}\.){{3}}{OCTET}$"), IP)
-        .when(mention.rlike(r"^\d{3}-\d{2}-\d{4}$"), SSN)
         .when(mention.rlike(r"^\p{L}"), NAME)
-        .when(mention.rlike(r"^\d(?:[\x20-]?\d){12,18}$"), F.when(card, CARD))
         .otherwise(PHONE)
     )
 
 
+def piece(text: Column, kind: Column) -> Column:
+    return F.struct(text.alias("text"), kind.cast("string").alias("kind"))
+
+
+def cut(text: Column, pattern: Column, kind: str) -> Column:
+    """Pieces of ``text``: what matches is of ``kind``, the rest of none yet."""
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    return F.transform(
+        F.array(found),
+        lambda found: F.flatten(
+            F.transform(
+                F.split(text, pattern, -1),
+                lambda gap, i: F.filter(
+                    F.array(piece(gap, F.lit(None)), piece(F.get(found, i), F.lit(kind))),
+                    lambda p: p["text"] != "",
+                ),
+            )
+        ),
+    )[0]
+
+
+def cut_cards(text: Column, candidates: Column) -> Column:
+    """Pieces of ``text`` around those candidates whose prefix and check digit are right."""
+    # Candidates are digits, spaces and hyphens, and so patterns of themselves.
+    return F.transform(
+        F.array(F.filter(candidates, is_card)),
+        lambda cards: F.when(F.size(cards) == 0, F.array(piece(text, F.lit(None)))).otherwise(
+            cut(text, F.concat(F.lit(r"(?<!\w)(?:"), F.array_join(cards, "|"), F.lit(r")(?!\w)")), CARD)
+        ),
+    )[0]
+
+
+def usual_cards(text: Column) -> Column:
+    """Everything in ``text`` written as a card, from every number on."""
+    return F.concat(
+        *[F.regexp_extract_all(text, F.lit(rf"(?<!\w)(?=({form})(?!\w))"), F.lit(1)) for form in CARD_FORMS]
+    )
+
+
+def pieces(mention: Column) -> Column:
+    """(text, kind) in order: a chain taken apart, any other mention as it is."""
+    failed = rf"(?<!\w)(?:{'|'.join(CARD_FORMS)})(?!\w)"
+    rules = [
+        lambda t: cut_cards(t, usual_cards(t)),
+        lambda t: cut(t, F.lit(r"(?<![\w-])" + SSN_DIGITS), SSN),
+        lambda t: cut(t, F.lit(r"(?<!\w)" + USUAL_PHONE), PHONE),
+        lambda t: cut_cards(t, F.regexp_extract_all(t, F.lit(ANY_CARD), F.lit(0))),
+        # Written as a card, with a wrong check digit: no part of it is a telephone number.
+        lambda t: cut(t, F.lit(failed), ""),
+        lambda t: cut(t, F.lit(r"(?<!\w)" + ANY_PHONE), PHONE),
+    ]
+    parts = F.array(piece(mention, F.lit(None)))
+    for rule in rules:
+        # Called at once, so that each step has its own rule.
+        step = F.transform(parts, lambda p: F.when(p["kind"].isNotNull(), F.array(p)).otherwise(rule(p["text"])))
+        parts = F.flatten(step)
+    chain = F.transform(parts, lambda p: piece(p["text"], F.when(p["kind"] != "", p["kind"])))
+    return F.when(mention.rlike(r"^\d++(?:[\x20-]\d++)*+-?$"), chain).otherwise(
+        F.array(piece(mention, kind_of(mention)))
+    )
+
+
 def bare_name(mention: Column) -> Column:
     return F.regexp_replace(mention, "^" + HONORIFIC, "")
 
@@ -235,23 +328,25 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     found = rows.select("row", mentions(F.col("row.text")).alias("found"))
     lists = materialize(found.filter(F.size("found") > 0).select("found").distinct())
     each = lists.select("found", F.posexplode("found").alias("at", "mention"))
-    each = each.withColumn("kind", kind_of(F.col("mention"))).withColumn(
+    each = each.select("found", "at", F.posexplode(pieces(F.col("mention"))).alias("sub", "piece"))
+    each = each.select("found", "at", "sub", F.col("piece.text").alias("mention"), "piece.kind").withColumn(
         "entity", entity_of(F.col("kind"), F.col("mention"))
     )
     entities = materialize(each.filter("kind is not null").select("kind", "entity").distinct())
     named = each.join(assign(entities, key), ["kind", "entity"], "left")
     new = F.coalesce(rendered(F.col("kind"), F.col("mention"), F.col("surrogate")), F.col("mention"))
     lists = named.groupBy("found").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("at", new.alias("new"), "kind"))),
-            lambda x: F.struct(x["new"].alias("new"), x["kind"].alias("kind")),
-        ).alias("parts")
+        F.array_sort(F.collect_list(F.struct("at", "sub", new.alias("new"), "kind"))).alias("parts")
     )
     with_entities = found.filter(F.size("found") > 0).join(lists, "found")
     gaps = F.split("row.text", PATTERN, -1)
-    text = F.array_join(
-        F.transform(gaps, lambda gap, i: F.concat(gap, F.coalesce(F.get(F.col("parts.new"), i), F.lit("")))), ""
-    )
+
+    def filled(gaps):
+        before = lambda x: F.when(x["sub"] == 0, F.get(gaps, x["at"])).otherwise("")
+        parts = F.transform("parts", lambda x: F.concat(before(x), x["new"]))
+        return F.concat(F.array_join(parts, ""), F.element_at(gaps, -1))
+
+    text = F.transform(F.array(gaps), filled)[0]
     changed = with_entities.select(
         "row",
         text.alias("text"),

@@ -308,6 +308,44 @@ def test_surrogates_keep_kind_format_and_identity(make):
     assert other[1] != got[1].text
 
 
+#: (text, entities in it, kinds)
+DIGITS_IN_FRONT = [
+    ("zip 94105 415-555-1234.", ["415-555-1234"], "phone"),
+    ("year 2024 415-555-1234", ["415-555-1234"], "phone"),
+    ("12 415.555.1234 or 12 345 415.555.1234", ["415.555.1234"] * 2, "phone"),
+    ("94105 12 (415) 555-1234", ["(415) 555-1234"], "phone"),
+    ("2024 415 555.1234", ["415 555.1234"], "phone"),
+    ("id 12345 123-45-6789", ["123-45-6789"], "ssn"),
+    ("2024 123-45-6789", ["123-45-6789"], "ssn"),
+    ("no 12 4111111111111111", ["4111111111111111"], "card"),
+    ("4015 4111 1111 1111 1111", ["4111 1111 1111 1111"], "card"),
+    ("12 345 4111-1111-1111-1111 99", ["4111-1111-1111-1111"], "card"),
+    ("94105 3782 822463 10005", ["3782 822463 10005"], "card"),
+    ("4111 1111 1111 1111 123 415-555-1234 123-45-6789", ["4111 1111 1111 1111", "415-555-1234", "123-45-6789"], "card,phone,ssn"),
+    ("4111 1111 1111 1112 415-555-1234", ["415-555-1234"], "phone"),
+    ("10 192.168.100.200 and 94105 200 10.20.30.40", ["192.168.100.200", "10.20.30.40"], "ip"),
+    ("94105 1234567 77.bob@mail.com", ["77.bob@mail.com"], "email"),
+    ("94105 1234567 Mr. Smith", ["Mr. Smith"], "name"),
+    ("call +14155551234, 12 +442079460958", ["+14155551234", "+442079460958"], "phone"),
+    ("+33 1 23 45 67 89 or (415)5551234", ["+33 1 23 45 67 89", "(415)5551234"], "phone"),
+    ("4111 1111 1111 1111.50", ["4111 1111 1111 1111"], "card"),
+    ("41111 11111 11111 1", ["41111 11111 11111 1"], "card"),
+    ("x-123-45-6789, 1 2 3 4 5 6 7 8 9 10 11 12, 94105 1234567, 1700000000", [], ""),
+]
+
+
+def test_digits_in_front_hide_no_entity(make):
+    docs = make([(i, text) for i, (text, _, _) in enumerate(DIGITS_IN_FRONT)])
+    for r in surrogates.replace(docs, "key").collect():
+        text, entities, kinds = DIGITS_IN_FRONT[r.row.doc_id]
+        assert (text, r.n_entities, r.kinds) == (text, len(entities), kinds)
+        rest = "".join(f"{re.escape(c)}(.+)" for c in re.split("|".join(map(re.escape, entities)), text)[:-1]) if entities else re.escape(text)
+        tail = re.escape(re.split("|".join(map(re.escape, entities)), text)[-1]) if entities else ""
+        match = re.fullmatch(rest + tail, r.text)
+        assert match, r.text
+        assert not set(match.groups()) & set(entities)
+
+
 def test_surrogates_stay_distinct_where_values_are_few(spark):
     names = [f"m:name{i}" for i in range(60)]
     mails = [f"{c}@x.org" for c in "abcdefghijklmnopqrstuvwxyz"]
