@@ -15,6 +15,7 @@ older text therefore sorts before the newer ingest and cannot outlive it.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from docfathom.functions.documents import empty_metadata
@@ -75,7 +76,13 @@ def write_changes(changes: DataFrame, root: str, source: str, batch_id: int) ->
 
 
 def read_changes(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(CHANGE_PARTITIONS).parquet(f"{root}/changes")
+    """The whole log; one that has just started anew is empty."""
+    try:
+        return spark.read.schema(CHANGE_PARTITIONS).parquet(f"{root}/changes")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], CHANGE_PARTITIONS)
 
 
 def current_documents(
@@ -101,21 +108,36 @@ def emit_backfill(
 ) -> DataFrame:
     """Emit jobs again for documents pending too long, as one more job folder.
 
-    Returns what was emitted. The same ``run`` replaces its own jobs.
+    Returns what was emitted. The same ``run`` replaces its own jobs. A document
+    whose ingest is not in the log comes from the snapshot: its job has no
+    ``change_batch``, and ``embed_jobs`` takes its text from there.
     """
     spark = documents.sparkSession
     due = pending_backfill(documents, as_of, age, **options)
     ingests = read_changes(spark, root).filter("op = 'ingest'")
-    newest = latest_per_key(ingests, ["id", "tenant_id"])
-    jobs = newest.join(
-        due.withColumnRenamed("document_id", "id"), ["id", "tenant_id"], "left_semi"
-    ).select(
-        F.col("id").alias("document_id"),
-        "tenant_id",
-        "text_hash",
-        "seq",
-        F.col("batch_id").alias("change_batch"),
-        as_of.alias("ts"),
+    newest = latest_per_key(ingests, ["id", "tenant_id"]).select(
+        "id", "tenant_id", F.struct("text_hash", "seq", "batch_id").alias("logged")
+    )
+    # A pending document was last updated by its ingest.
+    kept = F.struct(
+        F.md5("text").alias("text_hash"),
+        request_seq(F.col("updated_at")).alias("seq"),
+        F.lit(None).cast("bigint").alias("batch_id"),
+    )
+    named = ["id", "tenant_id"]
+    jobs = (
+        documents.join(due.withColumnRenamed("document_id", "id"), named, "left_semi")
+        .select(*named, kept.alias("kept"))
+        .join(newest, named, "left")
+        .withColumn("version", F.coalesce("logged", "kept"))
+        .select(
+            F.col("id").alias("document_id"),
+            "tenant_id",
+            "version.text_hash",
+            "version.seq",
+            F.col("version.batch_id").alias("change_batch"),
+            as_of.alias("ts"),
+        )
     )
     path = f"{root}/jobs/batch_id=backfill-{run}"
     jobs.write.mode("overwrite").json(path)

@@ -35,13 +35,27 @@ def logged_versions(jobs: DataFrame, root: str) -> DataFrame:
     read: as many as there were ingest batches since the last trigger.
     """
     spark = jobs.sparkSession
-    batches = [row.change_batch for row in jobs.select("change_batch").distinct().collect()]
+    named = jobs.filter("change_batch IS NOT NULL").select("change_batch").distinct()
+    batches = [row.change_batch for row in named.collect()]
     if not batches:
         return spark.createDataFrame([], CHANGE)
     paths = [changes_path(root, "ingest", batch) for batch in sorted(batches)]
     return spark.read.schema(CHANGE).parquet(*paths)
 
 
+def snapshot_versions(jobs: DataFrame, snapshot: DataFrame | None) -> DataFrame:
+    """(id, seq, text) of jobs without a log batch, while the snapshot has their text."""
+    wanted = jobs.filter("change_batch IS NULL").select(
+        F.col("document_id").alias("id"), "tenant_id", "text_hash", "seq"
+    ).distinct()
+    if snapshot is None:
+        if not wanted.isEmpty():
+            raise ValueError("jobs for documents of a snapshot need the snapshot")
+        return wanted.select("id", "seq", F.lit(None).cast("string").alias("text"))
+    texts = snapshot.select("id", "tenant_id", "text", F.md5("text").alias("text_hash"))
+    return texts.join(wanted, ["id", "tenant_id", "text_hash"]).select("id", "seq", "text")
+
+
 def embed_jobs(
     jobs: DataFrame,
     batch_id: int,
@@ -54,17 +68,22 @@ def embed_jobs(
     fail_exhausted: bool = False,
     max_attempts: int = EMBED_MAX_ATTEMPTS,
     sleep: Callable[[float], None] = time.sleep,
+    snapshot: DataFrame | None = None,
 ) -> None:
     """Handle one micro-batch of jobs.
 
+    With a ``snapshot``, texts whose ingest the log no longer has come from it.
+
     A document that could not be embedded stays pending for the next backfill,
     or is marked failed if ``fail_exhausted``. Outcomes for documents deleted or
     replaced meanwhile are logged too and have no effect when folded.
     """
     jobs = jobs.persist()
     try:
-        wanted = jobs.select(F.col("document_id").alias("id"), "seq").distinct()
+        logged = jobs.filter("change_batch IS NOT NULL")
+        wanted = logged.select(F.col("document_id").alias("id"), "seq").distinct()
         versions = logged_versions(jobs, root).join(wanted, ["id", "seq"], "left_semi")
+        versions = versions.select("id", "seq", "text").union(snapshot_versions(jobs, snapshot))
         # One row per version, named by id and seq, goes through the embedder.
         named = versions.select(
             F.to_json(F.array("id", F.col("seq").cast("string"))).alias("id"), "text"

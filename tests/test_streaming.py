@@ -145,6 +145,30 @@ def test_failed_documents_and_backfill(spark, collection):
     assert collection.documents()["2"]["status"] == "failed"
 
 
+def test_backfill_reaches_documents_of_a_snapshot(spark, collection, tmp_path):
+    collection.send(request("1", "old"), request("2", "old, too"))
+    collection.ingest()
+    stored = str(tmp_path / "snapshot")
+    changelog.current_documents(spark, collection.root).write.parquet(stored)
+    snapshot, late = spark.read.parquet(stored), F.lit(START + dt.timedelta(hours=1))
+    (tmp_path / "anew").mkdir()
+    anew = Collection(spark, tmp_path / "anew")
+
+    def current():
+        return changelog.current_documents(spark, anew.root, snapshot)
+
+    empty = changelog.emit_backfill(current(), anew.root + "-empty", "1", late)
+    assert sorted(r.document_id for r in empty.collect()) == ["1", "2"]
+    anew.send(request("2", "new", minute=1), request("3", "later", minute=1))
+    anew.ingest()
+    emitted = changelog.emit_backfill(current(), anew.root, "1", late).collect()
+    assert {r.document_id: r.change_batch is None for r in emitted} == {"1": True, "2": False, "3": False}
+    anew.embed(snapshot=snapshot)
+    assert {r.id: (r.text, r.status) for r in current().collect()} == {
+        "1": ("old", "indexed"), "2": ("new", "indexed"), "3": ("later", "indexed")
+    }
+
+
 def test_other_tenants_writes_are_set_aside(spark, collection):
     collection.send(request("1", "mine"), request("1", "theirs", tenant="b", minute=1))
     collection.ingest()
