@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docfathom.llm import blockjoin, bpe, cuckoo, language, licenses, neardup, packing, quality, secret_scan, surrogates
+from docfathom.llm import (
+    blockjoin,
+    bpe,
+    cuckoo,
+    divergence,
+    language,
+    licenses,
+    neardup,
+    packing,
+    quality,
+    secret_scan,
+    surrogates,
+)
 from docfathom.llm.text import bound_batches, held_out, table
 from docfathom.session import ship_package
 
@@ -134,3 +146,52 @@ def op9_quality(spark, sf_dir):
 def op5_block_join(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return blockjoin.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op11_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_source_divergence"] = r"""
+WITH d AS (
+    SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS rid,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), occ AS (
+    SELECT lang, source, rid, unnest(terms) AS term FROM d
+), groups AS (
+    SELECT DISTINCT lang, source FROM d
+), kept AS (
+    SELECT lang, term FROM occ GROUP BY lang, term HAVING count(DISTINCT rid) >= 30
+), langs AS (
+    SELECT g.lang, count(k.term) AS v FROM (SELECT DISTINCT lang FROM groups) g LEFT JOIN kept k USING (lang) GROUP BY g.lang
+), used AS (
+    SELECT lang, source, term, count(*) AS cnt FROM occ JOIN kept USING (lang, term) GROUP BY lang, source, term
+), grid AS (
+    SELECT g.lang, g.source, k.term, coalesce(u.cnt, 0) AS cnt
+    FROM groups g JOIN kept k USING (lang) LEFT JOIN used u USING (lang, source, term)
+), gp AS (
+    SELECT grid.*, 1 + (1000000000::HUGEINT * (cnt + 5)) // (sum(cnt) OVER (PARTITION BY lang, source) + 5 * v) AS p
+    FROM grid JOIN langs USING (lang)
+), lp AS (
+    SELECT lang, term, 1 + (1000000000::HUGEINT * (c + 5)) // (sum(c) OVER (PARTITION BY lang) + 5 * v) AS q
+    FROM (SELECT lang, term, sum(cnt) AS c FROM grid GROUP BY lang, term) JOIN langs USING (lang)
+), pair_values AS (
+    SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+    FROM gp x JOIN gp y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source
+    GROUP BY x.lang, x.source, y.source
+), rows AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pv.value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pair_values pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source
+    UNION ALL
+    SELECT gp.lang, gp.source, 'term', gp.term, gp.p - lp.q
+    FROM gp JOIN lp USING (lang, term) WHERE gp.cnt > 0 AND gp.p > lp.q
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rnk FROM rows
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rnk AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rnk <= 50
+"""
