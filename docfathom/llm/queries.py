@@ -18,6 +18,7 @@ from docfathom.llm import (
     quality,
     secret_scan,
     surrogates,
+    whitening,
 )
 from docfathom.llm.text import bound_batches, held_out, table
 from docfathom.session import ship_package
@@ -195,3 +196,9 @@ WITH d AS (
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rnk AS INTEGER) AS rank
 FROM ranked WHERE part = 'pair' OR rnk <= 50
 """
+
+
+@query
+def op12_embedding_whitening(spark, sf_dir):
+    # Eigenvectors have no SQL; the tests hold them against exact moments and numpy.
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
