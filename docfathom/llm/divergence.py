@@ -5,8 +5,9 @@ Method, single-pass in-memory indexing: each task reads its documents once and
 holds postings in memory, keyed (lang, source, term) with occurrences and
 documents, until ``BLOCK_POSTINGS`` keys are held; it then spills the block as a
 run sorted by term and starts a new block. Runs are dealt to shards by a hash of
-(lang, term); Spark's external sort merges a shard's runs (a heap over sorted
-spills), and equal keys are summed as they stream past, into exact frequencies.
+(lang, term); within a shard Spark's aggregation merges the runs into exact
+frequencies (in memory while they fit, else by spilled sorted runs merged
+through a heap).
 Pair distances then start from the value every pair would have if neither source
 used any term, and stream corrections for the terms the sources do use, so no
 dense term-by-source grid is built.
@@ -65,80 +66,78 @@ def terms(text: str | None) -> list[str]:
 
 
 def block_runs(limit: int = BLOCK_POSTINGS):
-    """A mapInArrow function: postings of a task's rows, spilled as sorted runs."""
+    """A mapInArrow function: postings of a task's rows, spilled as sorted runs.
 
-    def spill(held: dict):
+    A block holds one counter of occurrences and one of documents per (lang,
+    source); counting happens inside ``Counter`` (C), and the block is spilled
+    when its postings reach ``limit``.
+    """
+
+    def spill(counts: dict, docs: dict):
         import pyarrow as pa
 
-        keys = sorted(held)
-        for at in range(0, len(keys), RUN_BATCH):
-            part = keys[at : at + RUN_BATCH]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "lang": [k[0] for k in part],
-                    "term": [k[1] for k in part],
-                    "source": [k[2] for k in part],
-                    "count": pa.array([held[k][0] for k in part], pa.int64()),
-                    "docs": pa.array([held[k][1] for k in part], pa.int64()),
-                }
-            )
+        for lang, source in sorted(counts):
+            occurrences, holding = counts[(lang, source)], docs[(lang, source)]
+            names = sorted(occurrences)
+            for at in range(0, len(names), RUN_BATCH):
+                part = names[at : at + RUN_BATCH]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "lang": [lang] * len(part),
+                        "term": part,
+                        "source": [source] * len(part),
+                        "count": pa.array([occurrences[t] for t in part], pa.int64()),
+                        "docs": pa.array([holding[t] for t in part], pa.int64()),
+                    }
+                )
 
     def run(batches):
-        held: dict[tuple[str, str, str], list[int]] = {}
+        counts: dict[tuple[str, str], Counter] = {}
+        docs: dict[tuple[str, str], Counter] = {}
+        held = 0
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             sources = batch.column("source").to_pylist()
             texts = batch.column("text").to_pylist()
             for lang, source, text in zip(langs, sources, texts):
-                lang, source = lang or "", source or ""
-                for term, count in Counter(terms(text)).items():
-                    slot = held.get((lang, term, source))
-                    if slot is None:
-                        held[(lang, term, source)] = [count, 1]
-                    else:
-                        slot[0] += count
-                        slot[1] += 1
-                if len(held) >= limit:
-                    yield from spill(held)
-                    held = {}
-        if held:
-            yield from spill(held)
+                found = terms(text)
+                if not found:
+                    continue
+                key = (lang or "", source or "")
+                occurrences = counts.get(key)
+                if occurrences is None:
+                    occurrences = counts[key] = Counter()
+                    docs[key] = Counter()
+                before = len(occurrences)
+                occurrences.update(found)
+                docs[key].update(set(found))
+                held += len(occurrences) - before
+                if held >= limit:
+                    yield from spill(counts, docs)
+                    counts, docs, held = {}, {}, 0
+        if counts:
+            yield from spill(counts, docs)
 
     return run
 
 
-def merge_sorted(batches):
-    """A mapInArrow function: sums of equal neighbouring keys of a sorted shard."""
-    import pandas as pd
-    import pyarrow as pa
-
-    keys = ["lang", "term", "source"]
-    carry = None
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        frame = batch.to_pandas()
-        if carry is not None:
-            frame = pd.concat([carry, frame], ignore_index=True)
-        summed = frame.groupby(keys, sort=False, dropna=False)[["count", "docs"]].sum().reset_index()
-        # The last key may go on in the next batch.
-        carry = summed.iloc[-1:]
-        if len(summed) > 1:
-            yield pa.RecordBatch.from_pandas(summed.iloc[:-1], preserve_index=False)
-    if carry is not None:
-        yield pa.RecordBatch.from_pandas(carry, preserve_index=False)
-
-
 def frequencies(docs: DataFrame, limit: int = BLOCK_POSTINGS) -> DataFrame:
-    """(lang, term, source, count, docs) of every term a group uses, exact."""
+    """(lang, term, source, count, docs) of every term a group uses, exact.
+
+    The runs are dealt to shards by (lang, term); within a shard Spark's
+    aggregation merges them (hashing in memory, spilling sorted runs and merging
+    them when memory fills). The result stays dealt by (lang, term), which the
+    per-language counts and joins below reuse.
+    """
     rows = docs.select(
         F.coalesce(F.col("lang"), F.lit("")).alias("lang"),
         F.coalesce(F.col("source"), F.lit("")).alias("source"),
         F.col("text"),
     )
     runs = rows.mapInArrow(block_runs(limit), RUN_SCHEMA)
-    shards = runs.repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
-    return shards.mapInArrow(merge_sorted, RUN_SCHEMA)
+    return runs.repartition("lang", "term").groupBy("lang", "term", "source").agg(
+        F.sum("count").alias("count"), F.sum("docs").alias("docs")
+    )
 
 
 def share(count: str, total: str, kept: str) -> Column:
@@ -173,8 +172,9 @@ def ranked(rows: DataFrame, most: int | None) -> DataFrame:
 def audit(docs: DataFrame, limit: int = BLOCK_POSTINGS) -> DataFrame:
     """Pair and term rows of every (lang, source) group, as the module states.
 
-    The frequencies are written once to the checkpoint folder: four parts of the
-    plan read them, and a lost executor does not send the texts through again.
+    The frequencies, the per-group figures and the kept sparse rows are each
+    written once to the checkpoint folder: later parts read them several times,
+    and a lost executor does not send the texts through again.
     """
     freq = materialize(frequencies(docs, limit))
     groups = docs.select(
@@ -182,36 +182,42 @@ def audit(docs: DataFrame, limit: int = BLOCK_POSTINGS) -> DataFrame:
         F.coalesce(F.col("source"), F.lit("")).alias("source"),
     ).distinct()
 
-    by_lang = freq.groupBy("lang", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
-    kept_lang = by_lang.filter(F.col("docs") >= MIN_DOCS).drop("docs")
+    kept = (
+        freq.groupBy("lang", "term")
+        .agg(F.sum("count").alias("lang_count"), F.sum("docs").alias("docs"))
+        .filter(F.col("docs") >= MIN_DOCS)
+        .drop("docs")
+    )
     langs = (
         groups.select("lang").distinct()
-        .join(kept_lang.groupBy("lang").agg(F.count("*").alias("V"), F.sum("count").alias("N")), "lang", "left")
-        .select("lang", F.coalesce("V", F.lit(0)).cast("long").alias("V"), F.coalesce("N", F.lit(0)).cast("long").alias("N"))
-    )
-    lang_p = kept_lang.join(langs, "lang").select("lang", "term", share("count", "N", "V").alias("q"))
-
-    used = freq.join(kept_lang.select("lang", "term"), ["lang", "term"], "left_semi").select(
-        "lang", "source", "term", "count"
+        .join(kept.groupBy("lang").agg(F.count("*").alias("V"), F.sum("lang_count").alias("lang_N")), "lang", "left")
+        .select(
+            "lang",
+            F.coalesce("V", F.lit(0)).cast("long").alias("V"),
+            F.coalesce("lang_N", F.lit(0)).cast("long").alias("lang_N"),
+        )
     )
+    used = freq.join(kept, ["lang", "term"])
     totals = used.groupBy("lang", "source").agg(F.sum("count").alias("N"), F.count("*").alias("A"))
-    stats = (
-        groups.join(totals, ["lang", "source"], "left").join(langs.select("lang", "V"), "lang")
+    stats = materialize(
+        groups.join(totals, ["lang", "source"], "left").join(langs, "lang")
         .select(
-            "lang", "source", "V",
+            "lang", "source", "V", "lang_N",
             F.coalesce("N", F.lit(0)).cast("long").alias("N"),
             F.coalesce("A", F.lit(0)).cast("long").alias("A"),
         )
         .withColumn("z", F.when(F.col("V") > 0, share("0", "N", "V")))
     )
-    sparse = used.join(stats.select("lang", "source", "N", "V"), ["lang", "source"]).select(
-        "lang", "source", "term", share("count", "N", "V").alias("p")
+    sparse = materialize(
+        used.join(stats, ["lang", "source"]).select(
+            "lang", "source", "term", "z",
+            share("count", "N", "V").alias("p"),
+            share("lang_count", "lang_N", "V").alias("q"),
+        )
     )
-
-    term_rows = (
-        sparse.join(lang_p, ["lang", "term"])
-        .filter(F.col("p") > F.col("q"))
-        .select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
+    term_rows = sparse.filter(F.col("p") > F.col("q")).select(
+        "lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"),
+        (F.col("p") - F.col("q")).alias("value"),
     )
     return ranked(pair_rows(sparse, stats), None).unionByName(ranked(term_rows, TOP_TERMS))
 
@@ -223,7 +229,8 @@ def pair_rows(sparse: DataFrame, stats: DataFrame) -> DataFrame:
     value = S(a, b) + S(b, a) + (V - |A| - |B|) |z_a - z_b| + C(a, b), where
     S(a, b) = sum over A of |p_a - z_b| = P_a - |A| z_b + 2 sum over A, p_a < z_b, of (z_b - p_a),
     and C adds, for the terms both use, |p_a - p_b| - |p_a - z_b| - |z_a - p_b| + |z_a - z_b|
-    (V - |A| - |B| counts each of them once below zero).
+    (V - |A| - |B| counts each of them once below zero). Only pairs of sources
+    that share a term meet in a join of term rows; all other work is per group.
     """
     a = stats.select("lang", F.col("source").alias("a"), F.col("z").alias("za"), F.col("A").alias("Aa"), "V")
     b = stats.select("lang", F.col("source").alias("b"), F.col("z").alias("zb"), F.col("A").alias("Ab"))
@@ -231,33 +238,33 @@ def pair_rows(sparse: DataFrame, stats: DataFrame) -> DataFrame:
 
     # Terms of one count share p: so many (p, terms) rows per group as it has distinct counts.
     levels = sparse.groupBy("lang", F.col("source").alias("a"), "p").agg(F.count("*").alias("terms"))
-    sums = levels.groupBy("lang", "a").agg(F.sum(F.col("p") * F.col("terms")).alias("P"))
-    asked = pairs.select("lang", "a", "b", F.col("zb").alias("p"), F.lit(None).cast("long").alias("terms"))
+    carried = ["V", "za", "zb", "Aa", "Ab"]
+    asked = pairs.select("lang", "a", "b", F.col("zb").alias("p"), F.lit(None).cast("long").alias("terms"), *carried)
     running = Window.partitionBy("lang", "a").orderBy("p", F.col("terms").asc_nulls_last()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    below = (
-        levels.withColumn("b", F.lit(None).cast("string")).select("lang", "a", "b", "p", "terms")
-        .unionByName(asked)
+    whole = Window.partitionBy("lang", "a")
+    weight = F.coalesce(F.col("p") * F.col("terms"), F.lit(0))
+    known = levels.select(
+        "lang", "a", F.lit(None).cast("string").alias("b"), "p", "terms",
+        *[F.lit(None).cast("long").alias(c) for c in carried],
+    )
+    one_side = materialize(
+        known.unionByName(asked)
         .withColumn("n_below", F.sum(F.coalesce("terms", F.lit(0))).over(running))
-        .withColumn("p_below", F.sum(F.coalesce(F.col("p") * F.col("terms"), F.lit(0))).over(running))
+        .withColumn("p_below", F.sum(weight).over(running))
+        .withColumn("total_p", F.sum(weight).over(whole))
         .filter(F.col("terms").isNull())
-        .select("lang", "a", "b", (F.col("n_below") * F.col("p") - F.col("p_below")).alias("under"))
-    )
-    one_side = (
-        pairs.join(sums, ["lang", "a"], "left").join(below, ["lang", "a", "b"], "left")
         .select(
-            "lang", "a", "b",
-            (F.coalesce("P", F.lit(0)) - F.col("Aa") * F.coalesce("zb", F.lit(0))
-             + 2 * F.coalesce("under", F.lit(0))).alias("side"),
+            "lang", "a", "b", *carried,
+            (F.col("total_p") - F.col("Aa") * F.col("zb") + 2 * (F.col("n_below") * F.col("p") - F.col("p_below"))).alias("side"),
         )
     )
 
-    left = sparse.select("lang", "term", F.col("source").alias("a"), F.col("p").alias("pa"))
-    right = sparse.select("lang", "term", F.col("source").alias("b"), F.col("p").alias("pb"))
+    left = sparse.select("lang", "term", F.col("source").alias("a"), F.col("p").alias("pa"), F.col("z").alias("za"))
+    right = sparse.select("lang", "term", F.col("source").alias("b"), F.col("p").alias("pb"), F.col("z").alias("zb"))
     both = (
         left.join(right, ["lang", "term"]).filter(F.col("a") != F.col("b"))
-        .join(pairs.select("lang", "a", "b", "za", "zb"), ["lang", "a", "b"])
         .groupBy("lang", "a", "b")
         .agg(F.sum(
             F.abs(F.col("pa") - F.col("pb")) - F.abs(F.col("pa") - F.col("zb"))
@@ -267,7 +274,7 @@ def pair_rows(sparse: DataFrame, stats: DataFrame) -> DataFrame:
 
     mirrored = one_side.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), F.col("side").alias("back"))
     return (
-        pairs.join(one_side, ["lang", "a", "b"]).join(mirrored, ["lang", "a", "b"]).join(both, ["lang", "a", "b"], "left")
+        one_side.join(mirrored, ["lang", "a", "b"]).join(both, ["lang", "a", "b"], "left")
         .select(
             "lang", F.col("a").alias("source"), F.lit("pair").alias("part"), F.col("b").alias("item"),
             F.when(F.col("V") == 0, F.lit(0).cast("long")).otherwise(
