@@ -11,6 +11,7 @@ from docfathom.llm import (
     bpe,
     cuckoo,
     divergence,
+    host_rules,
     language,
     licenses,
     neardup,
@@ -202,3 +203,63 @@ FROM ranked WHERE part = 'pair' OR rnk <= 50
 def op12_embedding_whitening(spark, sf_dir):
     # Eigenvectors have no SQL; the tests hold them against exact moments and numpy.
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_host_rules(spark, sf_dir):
+    return host_rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+ORACLE["op13_host_rules"] = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), w AS (
+    SELECT rid, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM d
+), triples AS (
+    SELECT rid, pos, word, lead(word, 1) OVER (PARTITION BY rid ORDER BY pos) AS second,
+           lead(word, 2) OVER (PARTITION BY rid ORDER BY pos) AS third
+    FROM w
+), win AS (
+    SELECT rid, pos, count(*) OVER (PARTITION BY rid, word, second, third) AS seen FROM triples WHERE third IS NOT NULL
+), covered AS (
+    SELECT rid, count(*) AS n_repeat_words FROM (
+        SELECT rid, pos FROM win WHERE seen > 1
+        UNION SELECT rid, pos + 1 FROM win WHERE seen > 1
+        UNION SELECT rid, pos + 2 FROM win WHERE seen > 1
+    ) GROUP BY rid
+), lines AS (
+    SELECT rid, line, row_number() OVER (PARTITION BY rid, line ORDER BY place) AS nth
+    FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM d)
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), dup AS (
+    SELECT rid, count(*) AS word_lines, count(*) FILTER (WHERE nth > 1) AS n_dup_lines FROM lines GROUP BY rid
+), stats AS (
+    SELECT d.rid, d.doc_id, d.host,
+           CAST(len(d.words) AS BIGINT) AS n_words,
+           CAST(coalesce(list_sum(list_transform(d.words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+           CAST(length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+           CAST(coalesce(dup.n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+           coalesce(dup.word_lines, 0) AS word_lines,
+           CAST(coalesce(covered.n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+    FROM d LEFT JOIN covered USING (rid) LEFT JOIN dup USING (rid)
+), judged AS (
+    SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed,
+           n_symbols > n_words * 0.1 OR n_dup_lines > word_lines * 0.3
+           OR (n_words > 0 AND (word_chars / n_words < 3.0 OR word_chars / n_words > 10.0)) AS soft_failed
+    FROM stats
+), hosts AS (
+    SELECT host, count(*) AS docs, sum(CAST(base_failed OR soft_failed AS BIGINT)) AS failures FROM judged GROUP BY host
+), prior AS (
+    SELECT m, least(greatest(CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1000000.0 END, 2.0), 1000000.0) AS w
+    FROM (SELECT avg(failures / docs) AS m, var_pop(failures / docs) AS v FROM hosts)
+), verdicts AS (
+    SELECT host, (failures + (SELECT m * w FROM prior)) / (docs + (SELECT w FROM prior)) > 0.5 AS bad FROM hosts
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (soft_failed AND bad) AS kept
+FROM judged JOIN verdicts USING (host)
+"""
