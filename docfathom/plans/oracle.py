@@ -304,6 +304,11 @@ ORACLE: dict[str, str] = {
     "search_topk_batch": given(CORPUS, vector_queries(LABEL_LIMIT), ranked()) + HITS,
     "search_topk_blocks": given(CORPUS, vector_queries(LABEL_LIMIT), ranked()) + HITS,
     "search_model_guard": given(CORPUS, vector_queries(), ranked("AND c.model = 'm1'")) + HITS,
+    # The pruned search skips only cells that its bounds prove useless: its answer is exact.
+    "search_ann": given(CORPUS, vector_queries(), ranked()) + HITS,
+    "ann_recall": given(CORPUS, vector_queries(), ranked())
+    + """SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_exact, count(*) AS n_found,
+           count(*) / count(*) AS recall FROM hits""",
     "search_model_skipped": given(CORPUS)
     + """SELECT tenant_id, count(*) AS n_indexed,
            count(*) FILTER (model IS DISTINCT FROM 'm1') AS n_skipped

@@ -171,3 +171,21 @@ def test_blocks_of_very_many_cells(spark, monkeypatch):
     monkeypatch.setattr(similarity, "SENT_QUERY_BYTES", 1 << 20)
     monkeypatch.setattr(similarity, "FILTERED_CELLS", 0)
     assert {tuple(r)[:3] for r in search_topk_batch(corpus, queries).collect()} == want
+
+
+def test_pruned_search_is_exact(spark):
+    rng = np.random.default_rng(11)
+    centres_true = rng.normal(size=(6, 8)) * 4
+    rows = [(f"d{n}", "ab"[n % 2], centres_true[n % 6] + rng.normal(size=8)) for n in range(240)]
+    rows += [("zero", "a", np.zeros(8)), ("short", "b", np.ones(3)), ("tie1", "a", centres_true[0]), ("tie2", "a", centres_true[0])]
+    corpus = docs(spark, rows)
+    asks = [(f"q{n}", "ab"[n % 2], centres_true[n % 6] + rng.normal(size=8), 5) for n in range(30)]
+    asks += [("qz", "a", np.zeros(8), 3), ("qs", "b", np.ones(3), 3), ("qt", "a", centres_true[0], 4)]
+    queries = asked(spark, asks)
+    centres = ann.train_cells(corpus, cells=6)
+    exact = {tuple(r) for r in search_topk_batch(corpus, queries).select("query_id", "rank", "id").collect()}
+    for first in (1, 2, 6):
+        found = ann.search_pruned(corpus, queries, centres, first_cells=first)
+        assert {tuple(r) for r in found.select("query_id", "rank", "id").collect()} == exact
+    recall = ann.ann_recall(search_topk_batch(corpus, queries), ann.search_pruned(corpus, queries, centres)).first()
+    assert recall.recall == 1.0
