@@ -16,7 +16,9 @@ from docfathom.schemas import (
     EMBED_MAX_ATTEMPTS,
     JOB_RETENTION,
 )
-from docfathom.streaming.changelog import JOB, as_change, changes_path, write_changes
+from docfathom.operators.lifecycle import split_contested
+from docfathom.operators.spread import sent_if_small
+from docfathom.streaming.changelog import JOB, as_change, changes_path, read_changes, write_changes
 from docfathom.streaming.dedup import dedup_stream
 
 
@@ -36,6 +38,7 @@ def logged_versions(jobs: DataFrame, root: str) -> DataFrame:
     """
     spark = jobs.sparkSession
     named = jobs.filter("change_batch IS NOT NULL").select("change_batch").distinct()
+    # As many rows as ingest batches since the last trigger.
     batches = [row.change_batch for row in named.collect()]
     if not batches:
         return spark.createDataFrame([], CHANGE)
@@ -43,6 +46,45 @@ def logged_versions(jobs: DataFrame, root: str) -> DataFrame:
     return spark.read.schema(CHANGE).parquet(*paths)
 
 
+def live_jobs(jobs: DataFrame, root: str, whole_log: bool = True) -> DataFrame:
+    """Jobs whose version is still the newest accepted write of their document.
+
+    A job that a later ingest or delete of its document has overtaken would pay
+    for a vector that folding throws away, so it is dropped before any text is
+    fetched. With ``whole_log`` (no snapshot), writes the fold sets aside as
+    another tenant's (``split_contested``, the fold's own rule) neither overtake
+    a job nor are embedded. Of the log only (id, tenant_id, seq, op) of ingest
+    and delete folders are read, and only for the documents of this batch,
+    whose ids are counted before they are sent to the scan's tasks.
+    """
+    ids = sent_if_small(jobs.select(F.col("document_id").alias("id")).distinct())
+    writes = (
+        read_changes(jobs.sparkSession, root)
+        .filter(F.col("source").isin("ingest", "delete"))
+        .select("id", "seq", "op", "tenant_id")
+        .join(ids, "id", "left_semi")
+    )
+    if whole_log:
+        writes, refused = split_contested(writes)
+        jobs = jobs.join(
+            refused.filter(F.col("op") == "ingest").select(
+                F.col("id").alias("document_id"), "seq", "tenant_id"
+            ),
+            ["document_id", "seq", "tenant_id"],
+            "left_anti",
+        )
+    newest = (
+        writes.groupBy("id", "tenant_id")
+        .agg(F.max("seq").alias("newest"))
+        .withColumnRenamed("id", "document_id")
+    )
+    return (
+        jobs.join(newest, ["document_id", "tenant_id"], "left")
+        .filter(F.col("newest").isNull() | (F.col("seq") >= F.col("newest")))
+        .drop("newest")
+    )
+
+
 def snapshot_versions(jobs: DataFrame, snapshot: DataFrame | None) -> DataFrame:
     """(id, seq, text) of jobs without a log batch, while the snapshot has their text."""
     wanted = jobs.filter("change_batch IS NULL").select(
@@ -75,15 +117,17 @@ def embed_jobs(
     With a ``snapshot``, texts whose ingest the log no longer has come from it.
 
     A document that could not be embedded stays pending for the next backfill,
-    or is marked failed if ``fail_exhausted``. Outcomes for documents deleted or
-    replaced meanwhile are logged too and have no effect when folded.
+    or is marked failed if ``fail_exhausted``. Jobs of documents deleted or
+    replaced since they were emitted cost no call (``live_jobs``); a change that
+    lands while the batch runs still leaves an outcome that folding ignores.
     """
     jobs = jobs.persist()
     try:
-        logged = jobs.filter("change_batch IS NOT NULL")
+        live = live_jobs(jobs, root, whole_log=snapshot is None)
+        logged = live.filter("change_batch IS NOT NULL")
         wanted = logged.select(F.col("document_id").alias("id"), "seq").distinct()
         versions = logged_versions(jobs, root).join(wanted, ["id", "seq"], "left_semi")
-        versions = versions.select("id", "seq", "text").union(snapshot_versions(jobs, snapshot))
+        versions = versions.select("id", "seq", "text").union(snapshot_versions(live, snapshot))
         # One row per version, named by id and seq, goes through the embedder.
         named = versions.select(
             F.to_json(F.array("id", F.col("seq").cast("string"))).alias("id"), "text"

@@ -197,3 +197,34 @@ def test_stream_dedup_equals_batch_dedup(spark, tmp_path, sf_dir):
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     want = sorted(tuple(r) for r in dedup_jobs(log, window="5 days").collect())
     assert got == want and len(got) < log.count()
+
+
+def test_superseded_jobs_cost_no_call(spark, collection, tmp_path):
+    class Counting(HashEmbedder):
+        """A hash embedder that notes every text it is paid for in a file."""
+
+        def __init__(self, path):
+            super().__init__(16)
+            self.path = path
+
+        def __call__(self, texts):
+            with open(self.path, "a") as out:
+                out.writelines(f"{t}\n" for t in texts)
+            return super().__call__(texts)
+
+    collection.send(request("1", "first text"), request("2", "gone soon"), request("3", "stays"))
+    collection.ingest()
+    collection.send(request("1", "second text", minute=5), request("3", "taken by b", tenant="b", minute=5))
+    collection.ingest()
+    at = START + dt.timedelta(minutes=6)
+    changelog.delete_batch(
+        spark.createDataFrame([("2", "a", at)], "document_id string, tenant_id string, ts timestamp"),
+        collection.root,
+        0,
+    )
+    calls = tmp_path / "calls.txt"
+    collection.embed(Counting(str(calls)))
+    assert sorted(calls.read_text().splitlines()) == ["second text", "stays"]
+    docs = collection.documents()
+    assert set(docs) == {"1", "3"} and {d["status"] for d in docs.values()} == {"indexed"}
+    assert docs["1"]["text"] == "second text"
