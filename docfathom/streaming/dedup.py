@@ -22,8 +22,12 @@ def dedup_stream(
     not express this: it goes by event time seen so far, not by the last
     accepted job. Here the watermark only ends a job's life: one older than
     ``retention`` is dropped, and state that no job can meet any more is freed.
+    A window of no length is refused, as the batch form refuses it: nothing
+    would ever be a duplicate, and the search for the next start would not move.
     """
     width = window_micros(window)
+    if width <= 0:
+        raise ValueError("the window has to be longer than nothing")
 
     def accept(
         _key: tuple, batches: Iterator[pd.DataFrame], state: GroupState

@@ -228,3 +228,10 @@ def test_superseded_jobs_cost_no_call(spark, collection, tmp_path):
     docs = collection.documents()
     assert set(docs) == {"1", "3"} and {d["status"] for d in docs.values()} == {"indexed"}
     assert docs["1"]["text"] == "second text"
+
+
+@pytest.mark.parametrize("window", ["0 seconds", "-5 minutes"])
+def test_stream_dedup_refuses_a_window_of_no_length(spark, window):
+    jobs = spark.createDataFrame([("a", START)], "document_id string, ts timestamp")
+    with pytest.raises(ValueError, match="longer than nothing"):
+        dedup_stream(jobs, "document_id", window)
