@@ -324,10 +324,11 @@ class BestHits:
             k = int(limits.max())
             step = max(1, SCORE_CELLS // max(1, len(ids)))
             found = [self.kept[number]]
+            order = _id_order(ids) if len(ids) > k else None
             for start in range(0, len(queries), step):
                 scores = np.round(queries[start : start + step] @ docs.T, TIE_DECIMALS)
                 scores[np.isnan(scores)] = NO_SIMILARITY
-                found.append(_candidates(scores, ids, k, start))
+                found.append(_candidates(scores, ids, k, start, order))
             self.kept[number] = _cut(pa.concat_tables(found), limits)
 
     def result(self) -> pa.Table:
@@ -354,11 +355,25 @@ def _empty_hits() -> pa.Table:
     ).empty_table()
 
 
-def _candidates(scores: np.ndarray, ids: pa.Array, k: int, first: int) -> pa.Table:
-    """Every score that reaches its row's k-th best, ties included."""
-    if scores.shape[1] > k:
-        bar = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        rows, columns = np.nonzero(scores >= bar[:, None])
+def _candidates(scores: np.ndarray, ids: pa.Array, k: int, first: int, id_order: np.ndarray | None = None) -> pa.Table:
+    """Each row's k best scores; ties at the k-th go to the smaller id.
+
+    ``id_order`` ranks the ids as ``_cut`` orders them (nulls last). However
+    many scores are equal, at most k rows a query leave here.
+    """
+    width = scores.shape[1]
+    if width > k:
+        if id_order is None:
+            id_order = _id_order(ids)
+        bar = np.partition(scores, width - k, axis=1)[:, width - k]
+        above = scores > bar[:, None]
+        level = scores == bar[:, None]
+        # The bar is the k-th best, so at most k - 1 scores lie above it.
+        need = k - above.sum(axis=1)
+        key = np.where(level, id_order[None, :], width)
+        smallest = np.sort(np.partition(key, k - 1, axis=1)[:, :k], axis=1)
+        last = smallest[np.arange(len(need)), need - 1]
+        rows, columns = np.nonzero(above | (level & (key <= last[:, None])))
     else:
         rows, columns = (axis.ravel() for axis in np.indices(scores.shape))
     return pa.table(
@@ -371,6 +386,14 @@ def _candidates(scores: np.ndarray, ids: pa.Array, k: int, first: int) -> pa.Tab
     )
 
 
+def _id_order(ids: pa.Array) -> np.ndarray:
+    """Rank of every id in ascending order, nulls last."""
+    names = ids.to_pylist()
+    order = np.empty(len(names), dtype=np.int64)
+    order[sorted(range(len(names)), key=lambda i: (names[i] is None, names[i] or ""))] = np.arange(len(names))
+    return order
+
+
 def _cut(found: pa.Table, limits: np.ndarray) -> pa.Table:
     """Keep each query's best rows: by score, then by id."""
     ordered = found.sort_by([("query", "ascending"), ("score", "descending"), ("id", "ascending")])

@@ -189,3 +189,21 @@ def test_pruned_search_is_exact(spark):
         assert {tuple(r) for r in found.select("query_id", "rank", "id").collect()} == exact
     recall = ann.ann_recall(search_topk_batch(corpus, queries), ann.search_pruned(corpus, queries, centres)).first()
     assert recall.recall == 1.0
+
+
+def test_equal_scores_leave_k_rows_a_query():
+    import pyarrow as pa
+
+    ids = pa.array([f"d{n:05}" for n in range(10_000)][::-1])
+    scores = np.full((100, 10_000), 0.5)
+    scores[3, 17] = 0.9
+    found = similarity._candidates(scores, ids, 10, 0)
+    assert found.num_rows == 1000
+    rows = found.to_pydict()
+    mine = sorted(i for q, i in zip(rows["query"], rows["id"]) if q == 0)
+    assert mine == [f"d{n:05}" for n in range(10)]
+    third = {i for q, i in zip(rows["query"], rows["id"]) if q == 3}
+    assert ids[17].as_py() in third and len(third) == 10
+    with_null = pa.array(["b", None, "a", "c"])
+    picked = similarity._candidates(np.zeros((1, 4)), with_null, 2, 0).to_pydict()["id"]
+    assert sorted(picked) == ["a", "b"]
