@@ -87,24 +87,32 @@ class HashEmbedder:
 
 
 def hash_weights(docs: DataFrame, dims: int = 64) -> DataFrame:
-    """``HashEmbedder``'s non-zero elements by column functions: ``(id, place, weight)``."""
-    # Placed by id once, the rest needs no further shuffle.
-    words = docs.repartition("id").select(
-        "id", F.explode(F.split("text", r"[ \t\n\r]+")).alias("word")
-    )
-    digest = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint")
-    counts = (
-        words.filter("word <> ''")
-        .groupBy("id", F.pmod(digest, F.lit(dims)).cast("int").alias("place"))
-        .agg(F.count("*").alias("n"))
+    """``HashEmbedder``'s non-zero elements by column functions: ``(id, place, weight)``.
+
+    Everything happens inside the row (split, hash, count per place, length), so
+    no text is shuffled: the plan is a scan and a generator. Each row is a
+    document of its own; null and empty texts give no elements.
+    """
+    words = F.filter(F.split("text", r"[ \t\n\r]+"), lambda word: word != "")
+    places = F.transform(
+        words,
+        lambda word: F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint"), F.lit(dims)).cast("int"),
     )
-    # At most ``dims`` places per document.
-    places = counts.groupBy("id").agg(F.collect_list(F.struct("place", "n")).alias("places"))
-    squares = F.aggregate(
-        "places", F.lit(0).cast("bigint"), lambda total, x: total + x["n"] * x["n"]
+    counted = F.filter(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(dims - 1)),
+            lambda place: F.struct(
+                place.alias("place"), F.size(F.filter("places", lambda x: x == place)).cast("bigint").alias("n")
+            ),
+        ),
+        lambda x: x["n"] > 0,
     )
-    return places.select("id", F.sqrt(squares).alias("length"), F.inline("places")).select(
-        "id", "place", (F.col("n") / F.col("length")).alias("weight")
+    squares = F.aggregate("counted", F.lit(0).cast("bigint"), lambda total, x: total + x["n"] * x["n"])
+    return (
+        docs.select("id", places.alias("places"))
+        .select("id", counted.alias("counted"))
+        .select("id", F.sqrt(squares).alias("length"), F.inline("counted"))
+        .select("id", "place", (F.col("n") / F.col("length")).alias("weight"))
     )
 
 

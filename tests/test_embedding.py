@@ -110,3 +110,15 @@ def test_hash_embedder_equals_column_form(spark):
             want[str(n), int(place)] = round(float(vector[place]), 6)
     got = {(r.id, r.place): round(r.weight, 6) for r in emb.hash_weights(docs, 16).collect()}
     assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_hash_weights_shuffle_no_text(spark, tmp_path):
+    rows = [("a", "red kite red"), ("b", None), ("c", ""), ("d", "  \t ")]
+    spark.createDataFrame(rows, "id string, text string").write.parquet(str(tmp_path / "t"))
+    weights = emb.hash_weights(spark.read.parquet(str(tmp_path / "t")), 16)
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    got = {(r.id, r.place): r.weight for r in weights.collect()}
+    assert {i for i, _ in got} == {"a"}
+    want = emb.HashEmbedder(16)(["red kite red"])[0]
+    assert all(abs(got.get(("a", p), 0.0) - float(want[p])) < 1e-6 for p in range(16))
