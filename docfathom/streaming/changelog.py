@@ -26,7 +26,8 @@ from docfathom.operators.lifecycle import (
     split_contested,
 )
 from docfathom.operators.spread import latest_per_key
-from docfathom.schemas import BACKFILL_AGE, CHANGE, INGEST_REQUEST
+from docfathom.schemas import BACKFILL_AGE, CHANGE, INGEST_REQUEST, PENDING
+from docfathom.session import materialize
 
 # ``tenant_id`` and ``ts`` are set by whoever receives the request, not by its sender.
 REQUEST = T.StructType(
@@ -113,20 +114,27 @@ def emit_backfill(
     ``change_batch``, and ``embed_jobs`` takes its text from there.
     """
     spark = documents.sparkSession
-    due = pending_backfill(documents, as_of, age, **options)
+    # ``documents`` is often a fold of the log: it is evaluated once, for its
+    # pending rows and the few columns used below (a hash, not the text).
+    pending = materialize(
+        documents.filter(F.col("status") == PENDING).select(
+            "id", "tenant_id", "status", "created_at", "updated_at", F.md5("text").alias("text_md5")
+        )
+    )
+    due = pending_backfill(pending, as_of, age, **options)
     ingests = read_changes(spark, root).filter("op = 'ingest'")
     newest = latest_per_key(ingests, ["id", "tenant_id"]).select(
         "id", "tenant_id", F.struct("text_hash", "seq", "batch_id").alias("logged")
     )
     # A pending document was last updated by its ingest.
     kept = F.struct(
-        F.md5("text").alias("text_hash"),
+        F.col("text_md5").alias("text_hash"),
         request_seq(F.col("updated_at")).alias("seq"),
         F.lit(None).cast("bigint").alias("batch_id"),
     )
     named = ["id", "tenant_id"]
     jobs = (
-        documents.join(due.withColumnRenamed("document_id", "id"), named, "left_semi")
+        pending.join(due.withColumnRenamed("document_id", "id"), named, "left_semi")
         .select(*named, kept.alias("kept"))
         .join(newest, named, "left")
         .withColumn("version", F.coalesce("logged", "kept"))
