@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from docfathom.functions.documents import text_hash
 from docfathom.operators.similarity import search_topk_batch, split_queries
@@ -86,11 +86,21 @@ class HashEmbedder:
         return place
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once a row, however often it is used.
+
+    Spark merges projections, and a column that stands in another's lambda would
+    be computed anew for every element that the lambda is called with.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def hash_weights(docs: DataFrame, dims: int = 64) -> DataFrame:
     """``HashEmbedder``'s non-zero elements by column functions: ``(id, place, weight)``.
 
     Everything happens inside the row (split, hash, count per place, length), so
-    no text is shuffled: the plan is a scan and a generator. Each row is a
+    no text is shuffled: the plan is a scan and a generator. A word is hashed once,
+    and equal places are counted as runs of the sorted places. Each row is a
     document of its own; null and empty texts give no elements.
     """
     words = F.filter(F.split("text", r"[ \t\n\r]+"), lambda word: word != "")
@@ -98,22 +108,36 @@ def hash_weights(docs: DataFrame, dims: int = 64) -> DataFrame:
         words,
         lambda word: F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint"), F.lit(dims)).cast("int"),
     )
-    counted = F.filter(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(dims - 1)),
-            lambda place: F.struct(
-                place.alias("place"), F.size(F.filter("places", lambda x: x == place)).cast("bigint").alias("n")
+
+    def run_ends(places: Column) -> Column:
+        last = F.transform(
+            places,
+            lambda place, i: F.when(
+                ~place.eqNullSafe(F.get(places, i + 1)), F.struct(place.alias("place"), (i + 1).alias("upto"))
             ),
-        ),
-        lambda x: x["n"] > 0,
-    )
-    squares = F.aggregate("counted", F.lit(0).cast("bigint"), lambda total, x: total + x["n"] * x["n"])
-    return (
-        docs.select("id", places.alias("places"))
-        .select("id", counted.alias("counted"))
-        .select("id", F.sqrt(squares).alias("length"), F.inline("counted"))
-        .select("id", "place", (F.col("n") / F.col("length")).alias("weight"))
-    )
+        )
+        return F.filter(last, lambda end: end.isNotNull())
+
+    def run_lengths(ends: Column) -> Column:
+        return F.transform(
+            ends,
+            lambda end, i: F.struct(
+                end["place"].alias("place"),
+                (end["upto"] - F.coalesce(F.get(ends, i - 1)["upto"], F.lit(0))).cast("bigint").alias("n"),
+            ),
+        )
+
+    def weights(counted: Column) -> Column:
+        squares = F.aggregate(counted, F.lit(0).cast("bigint"), lambda total, x: total + x["n"] * x["n"])
+        return _bound(
+            F.sqrt(squares),
+            lambda length: F.transform(
+                counted, lambda x: F.struct(x["place"].alias("place"), (x["n"] / length).alias("weight"))
+            ),
+        )
+
+    ends = _bound(F.sort_array(places), run_ends)
+    return docs.select("id", F.inline(_bound(_bound(ends, run_lengths), weights)))
 
 
 def call_with_retry(

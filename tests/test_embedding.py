@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docfathom.operators import embedding as emb
 from docfathom.operators.embedding import (
@@ -122,3 +123,17 @@ def test_hash_weights_shuffle_no_text(spark, tmp_path):
     assert {i for i, _ in got} == {"a"}
     want = emb.HashEmbedder(16)(["red kite red"])[0]
     assert all(abs(got.get(("a", p), 0.0) - float(want[p])) < 1e-6 for p in range(16))
+
+
+def test_hash_weights_hash_a_word_once(spark):
+    docs = spark.range(1).select(F.col("id").cast("string"), F.lit("x").alias("text"), F.rand().alias("r"))
+    weights = emb.hash_weights(docs.withColumn("text", F.concat("text", F.col("r").cast("string"))), 16)
+    plan = weights._jdf.queryExecution().optimizedPlan().toString()
+    # Nor may the counting of a place stand in the lambda that goes over all places.
+    assert plan.count("md5(") == 1 and "sequence(" not in plan
+
+    words = [f"w{n % 977}" for n in range(20_000)]
+    long = spark.createDataFrame([("a", " ".join(words))], "id string, text string")
+    want = HashEmbedder(64)([" ".join(words)])[0]
+    got = {r.place: r.weight for r in emb.hash_weights(long).collect()}
+    assert all(abs(got.get(p, 0.0) - float(want[p])) < 1e-6 for p in range(64))
