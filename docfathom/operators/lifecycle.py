@@ -193,22 +193,20 @@ def apply_embeddings(corpus: DataFrame, results: DataFrame, as_of: Column) -> Da
     A result for an older text, or for a document that is gone, changes nothing. Of
     several results for one text every run takes the same one.
     """
-    good = (
-        one_row_each(
-            results.filter(F.col("error").isNull() & F.col("embedding").isNotNull()),
-            ["id", "text_hash"],
-            [F.col("model"), F.col("embedding")],
-        ).select(
-            "id",
-            "text_hash",
-            F.col("embedding").alias("new_embedding"),
-            F.col("model").alias("new_model"),
-        )
-    )
-    good = sent_if_small(good, F.size("new_embedding") * 4)
-    joined = corpus.withColumn("text_hash", text_hash(F.col("text"))).join(
-        good, ["id", "text_hash"], "left"
-    )
+    stored = results.filter(F.col("error").isNull() & F.col("embedding").isNotNull())
+    good = one_row_each(stored, ["id", "text_hash"], [F.col("model"), F.col("embedding")]).select(
+        F.col("id").alias("made_for"),
+        F.col("text_hash").alias("made_from"),
+        F.col("embedding").alias("new_embedding"),
+        F.col("model").alias("new_model"),
+    )
+    # Counted without the vectors: only few rows are looked at for their size.
+    good = sent_if_small(good, F.size("new_embedding") * 4, counted=stored.select("id", "text_hash").distinct())
+    current = corpus.withColumn("text_hash", text_hash(F.col("text")))
+    # Documents that lie by id stay where they are, as a join by the hash too would not let
+    # them; an equality inside COALESCE is no key of the join. At most one result fits.
+    fits = F.coalesce(F.col("text_hash") == F.col("made_from"), F.lit(False))
+    joined = current.join(good, (F.col("id") == F.col("made_for")) & fits, "left")
     hit = F.col("new_embedding").isNotNull()
     return joined.select(
         "id",

@@ -12,14 +12,17 @@ SENT_ROWS = 500_000
 SENT_BYTES = 64 << 20
 
 
-def sent_if_small(rows: DataFrame, *widths: Column) -> DataFrame:
+def sent_if_small(rows: DataFrame, *widths: Column, counted: DataFrame | None = None) -> DataFrame:
     """``rows``, marked for broadcast if counting shows them to be few and narrow.
 
     ``widths`` give the bytes of a row's long columns. Where one side of a join
     is a whole collection, the count is what keeps it from being shuffled: Spark
-    cannot tell beforehand how small an aggregated batch will be.
+    cannot tell beforehand how small an aggregated batch will be. ``counted``, if
+    given, has as many rows without the long columns; it is counted first.
     """
     width = sum((F.coalesce(w, F.lit(0)) for w in widths), F.lit(64)).cast("bigint")
+    if counted is not None and counted.count() > SENT_ROWS:
+        return rows
     size = rows.agg(F.count("*").alias("rows"), F.sum(width).alias("bytes")).first()
     if size.rows <= SENT_ROWS and (size.bytes or 0) <= SENT_BYTES:
         return F.broadcast(rows)

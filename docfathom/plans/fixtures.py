@@ -28,31 +28,40 @@ def tenant_of(number: str) -> Column:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The document table: one row per document, in every lifecycle state."""
-    docs = table(spark, sf_dir, "documents")
+    """The document table: one row per document, in every lifecycle state.
+
+    Joined by the id as text, so that joins by ``id`` find its rows in place.
+    Whether there is a vector is told apart before the join: those who only need
+    status or model do not move vectors.
+    """
+    docs = table(spark, sf_dir, "documents").withColumn("id", F.col("doc_id").cast("string"))
     made = events(spark, sf_dir).select(
-        F.col("event_id").alias("doc_id"), "event_type", F.col("ts").alias("created_at")
+        F.col("event_id").cast("string").alias("id"), "event_type", F.col("ts").alias("created_at")
+    )
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("string").alias("id"),
+        "embedding",
+        F.col("embedding").isNotNull().alias("is_embedded"),
     )
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     is_signup = F.coalesce(F.col("event_type") == "signup", F.lit(False))
-    embedding = F.when(~is_signup, F.col("embedding"))
+    is_embedded = F.coalesce("is_embedded", F.lit(False))
     status = (
         F.when(F.col("event_type") == "error", FAILED)
-        .when(is_signup | F.col("embedding").isNull(), PENDING)
+        .when(is_signup | ~is_embedded, PENDING)
         .otherwise(INDEXED)
     )
-    model = F.when(embedding.isNotNull(), F.when(F.col("doc_id") % 2 == 0, "m1").otherwise("m2"))
+    model = F.when(~is_signup & is_embedded, F.when(F.col("doc_id") % 2 == 0, "m1").otherwise("m2"))
     return (
-        docs.join(made, "doc_id", "left")
-        .join(vectors, "doc_id", "left")
+        docs.join(made, "id", "left")
+        .join(vectors, "id", "left")
         .select(
-            F.col("doc_id").cast("string").alias("id"),
+            "id",
             F.col("source").alias("tenant_id"),
             "text",
             F.create_map(
                 F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")
             ).alias("metadata"),
-            embedding.alias("embedding"),
+            F.when(~is_signup, F.col("embedding")).alias("embedding"),
             status.alias("status"),
             model.alias("model"),
             "created_at",
@@ -137,14 +146,15 @@ def upsert_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An embedding outcome per vector: some failed, some for an older text."""
-    vectors = table(spark, sf_dir, "embeddings")
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    vectors = table(spark, sf_dir, "embeddings").withColumn("id", F.col("vec_id").cast("string"))
+    # Texts are hashed before the join, so that only their hashes move.
+    texts = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), text_hash(F.col("text")).alias("current_hash")
+    )
     failed = F.col("vec_id") % 11 == 0
-    return vectors.join(texts, "vec_id").select(
-        F.col("vec_id").cast("string").alias("id"),
-        F.when(F.col("vec_id") % 7 == 0, "stale")
-        .otherwise(text_hash(F.col("text")))
-        .alias("text_hash"),
+    return vectors.join(texts, "id").select(
+        "id",
+        F.when(F.col("vec_id") % 7 == 0, "stale").otherwise(F.col("current_hash")).alias("text_hash"),
         F.when(~failed, F.col("embedding")).alias("embedding"),
         F.lit("m3").alias("model"),
         F.when(failed, "status 500").alias("error"),

@@ -208,3 +208,32 @@ def test_ownership_and_redelivery(spark):
     ]
     refused = {(r.seq, r.id, r.tenant_id) for r in lifecycle.refused_changes(base, changes).collect()}
     assert refused == {(1, "1", "b"), (2, "1", "b"), (3, "2", "b")}
+
+
+def test_stored_vectors_leave_documents_that_lie_by_id_in_place(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr("docfathom.operators.spread.SENT_ROWS", 0)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(str(i), f"x{i}") for i in range(20)] + [("3", "twin"), (None, "x")]
+        corpus = spark.createDataFrame(rows, "id string, text string").selectExpr(
+            "id", "'t' tenant_id", "text", "map('k', 'v') metadata", "cast(null as array<float>) embedding",
+            "'pending' status", "cast(null as string) model", "timestamp'2024-01-01' created_at",
+            "timestamp'2024-01-01' updated_at",
+        )
+        results = spark.createDataFrame(
+            [("3", "x3", 1.0), ("3", "x3", 1.0), ("3", "twin", 2.0), ("4", "old", 3.0), ("5", "x5", None), (None, "x", 4.0)],
+            "id string, text string, v float",
+        ).selectExpr(
+            "id", "md5(text) text_hash", "if(v is null, null, array(v)) embedding", "'m' model",
+            "cast(null as string) error",
+        )
+        done = lifecycle.apply_embeddings(
+            corpus.repartition(4, "id"), results.repartition(4, "id"), F.lit("2024-02-01").cast("timestamp")
+        )
+        assert "ENSURE_REQUIREMENTS" not in done._jdf.queryExecution().executedPlan().toString()
+        rows = done.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert len(rows) == 22
+    assert {(r.id, r.text): r.embedding for r in rows if r.embedding} == {("3", "x3"): [1.0], ("3", "twin"): [2.0]}
