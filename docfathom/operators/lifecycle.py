@@ -18,6 +18,8 @@ from docfathom.schemas import BACKFILL_AGE, EMBED_MAX_ATTEMPTS, FAILED, INDEXED,
 from docfathom.session import materialize
 
 BEFORE_ALL = -(1 << 62)
+#: What names a write of a change log.
+WRITE = ["id", "seq", "op", "tenant_id"]
 
 STATE = [
     "id",
@@ -269,41 +271,48 @@ def split_contested(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     ids written by more than one tenant need their changes walked in order; the
     walk streams over sorted rows and keeps one owner at a time.
     """
+    rejected = _contested_writes(changes)
+    return (
+        changes.join(rejected, WRITE, "left_anti"),
+        changes.join(rejected, WRITE, "left_semi").withColumn(
+            "reject_reason", F.lit("tenant_mismatch")
+        ),
+    )
+
+
+def _contested_writes(changes: DataFrame) -> DataFrame:
+    """The writes (``WRITE``) that ``split_contested`` sets aside."""
     writes = changes.filter(F.col("op").isin("ingest", "delete")).select(
         "id", "seq", "op", "tenant_id"
     )
     tenant = F.xxhash64("tenant_id")
     contested = writes.groupBy("id").agg(F.min(tenant).alias("a"), F.max(tenant).alias("b"))
     contested = contested.filter("a <> b").select("id")
-    rejected = (
+    return (
         writes.join(contested, "id", "left_semi")
         # By an expression: Spark 4.1 drops a repartitioning by the column itself above
         # a union that seems to have it, and may then read that union's parts locally.
         .repartition(F.xxhash64("id"))
         .sortWithinPartitions("id", "seq", "tenant_id", "op")
         .mapInArrow(_rejected_writes, "id string, seq bigint, op string, tenant_id string")
-        .distinct()
-    )
-    write = ["id", "seq", "op", "tenant_id"]
-    return (
-        changes.join(rejected, write, "left_anti"),
-        changes.join(rejected, write, "left_semi").withColumn(
-            "reject_reason", F.lit("tenant_mismatch")
-        ),
     )
 
 
 def _rejected_writes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    current, owner = None, None
+    """Refused writes, each once: writes that came twice lie side by side."""
+    current, owner, told = None, None, None
     for batch in batches:
         refused = []
-        for row, (id_, _, op, tenant) in enumerate(zip(*(column.to_pylist() for column in batch.columns))):
+        for row, write in enumerate(zip(*(column.to_pylist() for column in batch.columns))):
+            id_, _, op, tenant = write
             if id_ != current:
                 current, owner = id_, None
             if op == "ingest" and owner is None:
                 owner = tenant
             elif owner is not None and tenant != owner:
-                refused.append(row)
+                if write != told:
+                    refused.append(row)
+                    told = write
             elif op == "delete":
                 owner = None
         yield batch.take(pa.array(refused, pa.int64()))
@@ -321,16 +330,33 @@ def document_lifecycle(changes: DataFrame) -> DataFrame:
     count as one. The fold is taken apart into maxima and minima of ``seq``, which
     combine before they are shuffled; payloads are then fetched by ``seq``.
     """
+    return _folded(changes)
+
+
+def _folded(changes: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """``document_lifecycle`` of the changes without the ``rejected`` writes.
+
+    Those are taken out of what each step has kept of the changes. So no text or
+    vector is shuffled to find out that its write counts.
+    """
+
+    def accepted(rows: DataFrame) -> DataFrame:
+        return rows if rejected is None else rows.join(rejected, WRITE, "left_anti")
+
     removed = (
-        changes.filter(F.col("op") == "delete").groupBy("id").agg(F.max("seq").alias("removed_seq"))
+        accepted(changes.filter(F.col("op") == "delete").select(*WRITE))
+        .groupBy("id")
+        .agg(F.max("seq").alias("removed_seq"))
     )
     # A text is known by its hash, so the fold itself does not carry texts.
     made_from = F.when(F.col("op") == "ingest", F.coalesce(F.md5("text"), F.lit(""))).otherwise(
         F.col("text_hash")
     )
+    slim = changes.select(*WRITE, "ts", made_from.alias("text_hash"))
+    # Only writes are rejected.
     slim = (
-        changes.filter(F.col("op") != "delete")
-        .select("id", "seq", "ts", "op", made_from.alias("text_hash"))
+        accepted(slim.filter(F.col("op") == "ingest"))
+        .unionByName(slim.filter(~F.col("op").isin("ingest", "delete")))
         .groupBy("id", "seq", "op", "text_hash")
         .agg(F.min("ts").alias("ts"))
     )
@@ -385,7 +411,9 @@ def document_lifecycle(changes: DataFrame) -> DataFrame:
     # ``model`` outlives a re-ingest: without such a vector it is that of the
     # last one since creation that was made from the text of its time.
     earlier_ok = F.when(F.col("fitting_seq") > F.col("first_seq"), F.col("fitting_seq"))
-    live = live.join(matching, "id", "left").withColumn("made_seq", F.coalesce(F.col("ok_seq"), earlier_ok))
+    live = materialize(
+        live.join(matching, "id", "left").withColumn("made_seq", F.coalesce(F.col("ok_seq"), earlier_ok))
+    )
     contents = changes.filter(F.col("op") == "ingest").select(
         "id",
         F.col("seq").alias("ingest_seq"),
@@ -395,7 +423,14 @@ def document_lifecycle(changes: DataFrame) -> DataFrame:
         "metadata",
     )
     written = ["id", "ingest_seq", "current_hash"]
-    live = one_row_each(live.join(contents, written), written, [F.col("tenant_id"), F.to_json("metadata")])
+    contents = live.join(contents, written)
+    if rejected is not None:
+        # By another tenant at the very ``seq`` of a document's last ingest: hardly any.
+        last_writes = live.select("id", F.col("ingest_seq").alias("seq"))
+        others = rejected.filter(F.col("op") == "ingest").join(last_writes, ["id", "seq"], "left_semi")
+        others = others.select("id", F.col("seq").alias("ingest_seq"), "tenant_id")
+        contents = contents.join(sent_if_small(others), ["id", "ingest_seq", "tenant_id"], "left_anti")
+    live = one_row_each(contents, written, [F.col("tenant_id"), F.to_json("metadata")])
     vectors = changes.filter(F.col("op") == "embed_ok").select(
         "id", F.col("seq").alias("made_seq"), "model", "embedding"
     )
@@ -442,10 +477,10 @@ def _fitting_outcomes(since: DataFrame) -> DataFrame:
 
 
 def _one_log(snapshot: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents that no change names, and one log that leads to the others.
+    """Documents that no change names, and the start of a log that leads to the others.
 
-    The log starts with the few changes that make a document of the snapshot,
-    numbered below any real ``seq``. So it also says who owns the id.
+    Those are the few changes that make a document of the snapshot, numbered below
+    any real ``seq``. So the log also says who owns the id.
     """
     named = sent_if_small(changes.select("id").distinct())
     kept = snapshot.join(named, "id", "left_anti").select(*STATE)
@@ -473,7 +508,7 @@ def _one_log(snapshot: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFr
         F.when(is_vector, F.col("model")).alias("model"),
         F.lit(None).cast("string").alias("text_hash"),
     )
-    return kept, earlier.unionByName(changes.select(*earlier.columns))
+    return kept, earlier
 
 
 def apply_changes(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
@@ -482,13 +517,16 @@ def apply_changes(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
     Documents no change names pass through. A change by another tenant than the
     one that has the document, in the snapshot or since, has no effect.
     """
-    kept, log = _one_log(snapshot, changes)
-    return kept.unionByName(document_lifecycle(split_contested(log)[0]))
+    kept, earlier = _one_log(snapshot, changes)
+    # Written once: a snapshot may be a join of whole tables, and the log is read often.
+    log = materialize(earlier).unionByName(changes.select(*earlier.columns))
+    return kept.unionByName(_folded(log, materialize(_contested_writes(log))))
 
 
 def refused_changes(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
     """The changes that ``apply_changes`` sets aside, with their reason."""
-    return split_contested(_one_log(snapshot, changes)[1])[1]
+    _, earlier = _one_log(snapshot, changes)
+    return split_contested(earlier.unionByName(changes.select(*earlier.columns)))[1]
 
 
 def _step(number: int, op: str, moment: str) -> Column:

@@ -164,39 +164,45 @@ def embed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document changes in event order: ingests, embed outcomes, deletes."""
+    return changes_of(made_changes(spark, sf_dir))
+
+
+def made_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events that change a document, and what they do."""
     op = (
         F.when(F.col("event_type").isin("signup", "click"), "ingest")
         .when(F.col("event_type") == "purchase", "embed_ok")
         .when(F.col("event_type") == "error", "embed_fail")
         .when(F.col("value") >= 60, "delete")
     )
-    is_ingest, is_ok = F.col("op") == "ingest", F.col("op") == "embed_ok"
     return (
         events(spark, sf_dir)
         .withColumn("op", op)
         .filter("op IS NOT NULL")
-        .select(
-            F.col("event_id").alias("seq"),
-            "ts",
-            "op",
-            F.col("user_id").cast("string").alias("id"),
-            tenant_of("user_id").alias("tenant_id"),
-            F.when(is_ingest, F.concat(F.lit("v"), F.col("event_id").cast("string"))).alias("text"),
-            F.when(is_ingest, F.create_map(F.lit("type"), F.col("event_type"))).alias("metadata"),
-            F.when(is_ok, F.array(F.col("value").cast("float"))).alias("embedding"),
-            F.when(is_ok, F.concat(F.lit("m"), (F.col("event_id") % 3).cast("string"))).alias("model"),
-            F.lit(None).cast("string").alias("text_hash"),
-        )
+        .withColumns({"id": F.col("user_id").cast("string"), "tenant_id": tenant_of("user_id")})
+    )
+
+
+def changes_of(made: DataFrame) -> DataFrame:
+    is_ingest, is_ok = F.col("op") == "ingest", F.col("op") == "embed_ok"
+    return made.select(
+        F.col("event_id").alias("seq"),
+        "ts",
+        "op",
+        "id",
+        "tenant_id",
+        F.when(is_ingest, F.concat(F.lit("v"), F.col("event_id").cast("string"))).alias("text"),
+        F.when(is_ingest, F.create_map(F.lit("type"), F.col("event_type"))).alias("metadata"),
+        F.when(is_ok, F.array(F.col("value").cast("float"))).alias("embedding"),
+        F.when(is_ok, F.concat(F.lit("m"), (F.col("event_id") % 3).cast("string"))).alias("model"),
+        F.lit(None).cast("string").alias("text_hash"),
     )
 
 
 def contested_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change log with every click and delete made by another tenant."""
-    log = change_log(spark, sf_dir)
-    foreign = (F.col("op") == "delete") | (F.col("metadata")["type"] == "click")
-    return log.join(owners(spark, sf_dir), "id").select(
-        *[
-            F.when(foreign, "other").otherwise(F.col("owner")).alias("tenant_id") if c == "tenant_id" else c
-            for c in log.columns
-        ]
-    )
+    # The events are joined as they are; what they contain is made afterwards.
+    made = made_changes(spark, sf_dir).join(owners(spark, sf_dir), "id")
+    foreign = (F.col("op") == "delete") | ((F.col("op") == "ingest") & (F.col("event_type") == "click"))
+    tenant = F.when(foreign, "other").otherwise(F.col("owner"))
+    return changes_of(made.withColumn("tenant_id", tenant))

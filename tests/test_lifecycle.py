@@ -210,6 +210,50 @@ def test_ownership_and_redelivery(spark):
     assert refused == {(1, "1", "b"), (2, "1", "b"), (3, "2", "b")}
 
 
+def test_a_snapshot_is_evaluated_once_for_the_log_and_once_for_the_rest(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        seen.add(1)
+        return text
+
+    at = F.lit("2024-01-01").cast("timestamp")
+    n = 20
+    snapshot = spark.range(n).select(
+        F.col("id").cast("string"),
+        F.lit("t").alias("tenant_id"),
+        F.udf(counted, "string")(F.concat(F.lit("x"), F.col("id"))).alias("text"),
+        F.create_map(F.lit("k"), F.lit("v")).alias("metadata"),
+        F.array(F.lit(1.0).cast("float")).alias("embedding"),
+        F.lit("indexed").alias("status"),
+        F.lit("m1").alias("model"),
+        at.alias("created_at"),
+        at.alias("updated_at"),
+    )
+    changes = spark.range(n).select(
+        F.col("id").alias("seq"),
+        at.alias("ts"),
+        F.when(F.col("id") % 4 == 0, "delete").when(F.col("id") % 4 == 1, "ingest").otherwise("embed_fail").alias("op"),
+        F.col("id").cast("string").alias("id"),
+        F.when(F.col("id") % 8 < 4, "t").otherwise("other").alias("tenant_id"),
+        F.lit("new").alias("text"),
+        F.lit(None).cast("map<string,string>").alias("metadata"),
+        F.lit(None).cast("array<float>").alias("embedding"),
+        F.lit(None).cast("string").alias("model"),
+        F.lit(None).cast("string").alias("text_hash"),
+    )
+    got = {r.id: (r.text, r.status) for r in lifecycle.apply_changes(snapshot, changes).collect()}
+    want = {}
+    for i in range(n):
+        if i % 8 != 0:
+            if i % 8 == 1:
+                want[str(i)] = ("new", "pending")
+            else:
+                want[str(i)] = (f"x{i}", "failed" if i % 4 > 1 else "indexed")
+    assert got == want
+    assert seen.value <= 2 * n
+
+
 def test_stored_vectors_leave_documents_that_lie_by_id_in_place(spark, monkeypatch, tmp_path):
     monkeypatch.setattr("docfathom.operators.spread.SENT_ROWS", 0)
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
