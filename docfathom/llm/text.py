@@ -7,9 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Bytes of one Arrow batch between the JVM and a Python worker, so that a few
-#: very long texts do not meet in one batch. A single longer text has its own.
-BATCH_BYTES = "16m"
+from docfathom.session import bound_batches  # noqa: F401 - used from here by the operators on texts
 
 #: Maps A-Z to a-z and every ASCII byte that is no letter or digit to a space.
 ALNUM = bytes(
@@ -22,14 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession) -> SparkSession:
-    """Limit Arrow batches by bytes where the session does not say otherwise."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key) in (None, str(1 << 28), "256MB", str((1 << 63) - 1)):
-        spark.conf.set(key, BATCH_BYTES)
-    return spark
-
-
 def texts(batch, name: str = "text") -> list[str]:
     """The texts of an Arrow batch; null is the empty text."""
     return [x or "" for x in batch.column(name).to_pylist()]

@@ -62,6 +62,10 @@ class HashEmbedder:
     """
 
     WORD_BREAK = re.compile(r"[ \t\n\r]+")
+    #: Words whose place is remembered, and the longest of them, so that a worker's
+    #: memory does not grow with the words of the collection.
+    KNOWN_WORDS = 100_000
+    KNOWN_LENGTH = 64
 
     def __init__(self, dims: int = 64):
         self.dims = dims
@@ -79,10 +83,11 @@ class HashEmbedder:
     def _place(self, word: str) -> int:
         place = self.known.get(word)
         if place is None:
-            if len(self.known) >= 1_000_000:
-                self.known.clear()
             place = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dims
-            self.known[word] = place
+            if len(word) <= self.KNOWN_LENGTH:
+                if len(self.known) >= self.KNOWN_WORDS:
+                    self.known.clear()
+                self.known[word] = place
         return place
 
 

@@ -19,7 +19,7 @@ from docfathom.operators.embedding import (
 )
 from docfathom.plans import fixtures as fx
 from docfathom.schemas import INDEXED
-from docfathom.session import materialize, ship_package
+from docfathom.session import bound_batches, materialize, ship_package
 from docfathom.sources import messages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,7 +39,7 @@ def named(name: str) -> Callable[[Query], Query]:
     """Register a query whose name is also an imported operator's."""
 
     def add(function: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: function(ship_package(spark), sf_dir)
+        QUERIES[name] = lambda spark, sf_dir: function(bound_batches(ship_package(spark)), sf_dir)
         return function
 
     return add

@@ -137,3 +137,26 @@ def test_hash_weights_hash_a_word_once(spark):
     want = HashEmbedder(64)([" ".join(words)])[0]
     got = {r.place: r.weight for r in emb.hash_weights(long).collect()}
     assert all(abs(got.get(p, 0.0) - float(want[p])) < 1e-6 for p in range(64))
+
+
+def test_remembered_words_stay_bounded():
+    embedder, plain = HashEmbedder(16), HashEmbedder(16)
+    embedder.KNOWN_WORDS = 10
+    texts = [" ".join(f"w{n}" for n in range(a, a + 30)) + " " + "x" * 5000 for a in range(0, 120, 30)]
+    got = embedder(texts)
+    assert len(embedder.known) <= 10 and all(len(word) <= 64 for word in embedder.known)
+    assert HashEmbedder.KNOWN_WORDS <= 100_000
+    assert all((a == b).all() for a, b in zip(got, plain(texts)))
+
+
+def test_queries_send_batches_of_bounded_size(spark, sf_dir):
+    from docfathom.plans.registry import QUERIES
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    kept = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    try:
+        QUERIES["embed_documents"](spark, sf_dir)
+        assert spark.conf.get(key) == "16m"
+    finally:
+        spark.conf.set(key, kept) if kept else spark.conf.unset(key)
