@@ -466,7 +466,9 @@ class Similar:
         for _ in range(STAR_ROUNDS):
             pairs = self.leaders_of_components(members, components(links))
             links = materialize(links.union(self.star_links(pairs)))
-        found = components(links.union(self.cross_links(members, components(links))))
+        # Written once: finding components goes over the links several times.
+        links = materialize(links.union(self.cross_links(members, components(links))))
+        found = components(links)
         classes = self.classes.join(found, "node", "left").select(
             "set_id", F.coalesce("component", "node").alias("component")
         )
