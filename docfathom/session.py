@@ -58,7 +58,7 @@ def ship_package(spark: SparkSession) -> SparkSession:
 def bound_batches(spark: SparkSession) -> SparkSession:
     """Limit Arrow batches by bytes where the session does not say otherwise."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key) in (None, str(1 << 28), "256MB", str((1 << 63) - 1)):
+    if spark.conf.get(key) in (None, "67108864b", str(1 << 28), "256MB", str((1 << 63) - 1)):
         spark.conf.set(key, BATCH_BYTES)
     return spark
 
