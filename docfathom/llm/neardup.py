@@ -50,6 +50,8 @@ TILE_SHINGLES = 1 << 17
 TILE_ROWS = 256
 #: Rounds that compare components by one pair each, before tiles compare the rest.
 STAR_ROUNDS = 1
+#: Edges that one task of a round of components takes.
+TASK_EDGES = 20_000
 #: Distinct words whose hashes a worker keeps.
 KNOWN_WORDS = 400_000
 
@@ -202,25 +204,33 @@ def components(links: DataFrame) -> DataFrame:
 
     Rounds of large-star and small-star until no edge changes. Minima combine
     before they are shuffled; AQE splits the edges of a hub where they are joined.
+    Each shuffle is written by as many tasks as the edges need: a round has eight,
+    and files of no content would outweigh the edges.
     """
-    edges = links.select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    ).filter("u <> v").distinct()
-    before = None
+
+    def told_apart(edges: DataFrame):
+        # Sums of halves do not overflow, however many edges there are.
+        return edges.agg(
+            F.count("*"),
+            F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF)),
+            F.sum(F.shiftrightunsigned(F.xxhash64("u", "v"), 32)),
+        ).first()
+
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges = materialize(edges.filter("u <> v").distinct())
+    before = told_apart(edges)
     while True:
+        tasks = 2 + before[0] // TASK_EDGES
+        edges = edges.coalesce(tasks)
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
+        large = large.filter("u <> v").coalesce(tasks).distinct().coalesce(tasks)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        # Sums of halves do not overflow, however many edges there are.
-        now = edges.agg(
-            F.count("*"),
-            F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF)),
-            F.sum(F.shiftrightunsigned(F.xxhash64("u", "v"), 32)),
-        ).first()
+        small = small.union(least.select("u", F.col("m").alias("v")))
+        edges = materialize(small.coalesce(tasks).distinct().coalesce(tasks))
+        now = told_apart(edges)
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = now

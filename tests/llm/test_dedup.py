@@ -170,3 +170,33 @@ def test_components_of_a_long_chain(spark):
     got = {r.node: r.component for r in neardup.components(links).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {200: 100, 300: 100}
     assert neardup.components(links.limit(0)).count() == 0
+
+
+def test_components_of_few_edges_are_written_by_few_tasks(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 91), (7, 7)], "a long, b long")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = neardup.components(links)
+        assert found.rdd.getNumPartitions() <= 2
+        rows = {(r.node, r.component) for r in found.collect()}
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    assert rows == {(i, 0) for i in range(1, 41)} | {(91, 90)}
+    assert neardup.components(links.limit(0)).count() == 0
+
+
+def test_links_across_components_are_found_once(spark, make, monkeypatch):
+    seen, real = [], neardup.components
+
+    def watched(links):
+        seen.append(links._jdf.queryExecution().optimizedPlan().toString())
+        return real(links)
+
+    monkeypatch.setattr(neardup, "components", watched)
+    docs = make([(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "x y")])
+    rows = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    assert rows == {1: 1, 2: 1, 3: 3}
+    assert len(seen) == 3 and not any("MapInArrow" in plan for plan in seen)
