@@ -11,9 +11,13 @@
 4. Survivors are confirmed on their full sets, and links joined to components. In
    each further round two components that share a group are compared by one pair.
 5. Groups whose members are still in several components are compared across
-   components, in tiles of bounded size, in the same two steps. So every candidate
-   pair has been compared or is connected otherwise, and a huge group of near
-   copies costs a comparison a member, not one a pair.
+   components, in tiles of bounded size, in the same two steps. A pair counts in the
+   first band that it shares, so it is confirmed once, however many groups it is in.
+   So every candidate pair has been compared or is connected otherwise, and a huge
+   group of near copies costs a comparison a member, not one a pair.
+
+Every step is dealt to as many tasks as its rows need, which are known from the step
+before: with many shuffle partitions, tasks without rows would take most of the time.
 
 Chance that a pair at the threshold 0.8 shares no band: (1 - 0.8^5)^28 < 2e-5; that
 it is pruned: below 5 x ``miss``. Different shingles have equal hashes in less than
@@ -52,6 +56,10 @@ TILE_ROWS = 256
 STAR_ROUNDS = 1
 #: Edges that one task of a round of components takes.
 TASK_EDGES = 20_000
+#: Rows, and those of a column or two, that one task of any other step takes.
+TASK_ROWS, TASK_NARROW_ROWS = 5_000, 20_000
+#: Low bits of a bucket, which hold its band.
+BAND_BITS = 5
 #: Distinct words whose hashes a worker keeps.
 KNOWN_WORDS = 400_000
 
@@ -216,17 +224,20 @@ def components(links: DataFrame) -> DataFrame:
             F.sum(F.shiftrightunsigned(F.xxhash64("u", "v"), 32)),
         ).first()
 
+    links = links.toDF("a", "b")
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    edges = materialize(edges.filter("u <> v").distinct())
+    edges = edges.filter("u <> v")
+    edges = materialize(edges.distinct().coalesce(2 + edges.count() // TASK_EDGES))
     before = told_apart(edges)
     while True:
         tasks = 2 + before[0] // TASK_EDGES
         edges = edges.coalesce(tasks)
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
+        least = least.select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").coalesce(tasks).distinct().coalesce(tasks)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(least.select("u", F.col("m").alias("v")))
         edges = materialize(small.coalesce(tasks).distinct().coalesce(tasks))
@@ -236,6 +247,11 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def in_tasks(rows: DataFrame, count: int, each: int = TASK_NARROW_ROWS) -> DataFrame:
+    """``rows``, ``count`` of them at most or about, in as many tasks as they need."""
+    return rows.coalesce(2 + count // each)
+
+
 def with_components(members: DataFrame, found: DataFrame) -> DataFrame:
     """(bucket, node, comp): members with their component so far, at first themselves."""
     known = found.withColumnRenamed("component", "known")
@@ -250,35 +266,41 @@ class Similar:
     def __init__(self, docs: DataFrame, words: int, percent: int, miss: float):
         self.docs, self.words, self.percent, self.miss = docs, words, percent, miss
         self.rows = materialize(profiles(docs, words))
+        self.n_rows = self.rows.count()
         taking_part = self.rows.filter("doc_id is not null and set_id is not null")
         #: A class: its digest, its node (smallest id), size and signature.
-        self.classes = materialize(
-            taking_part.groupBy("set_id").agg(
-                F.min("doc_id").alias("node"),
-                F.first("n_shingles").alias("n_shingles"),
-                F.first("signature").alias("signature"),
-            )
+        classes = taking_part.groupBy("set_id").agg(
+            F.min("doc_id").alias("node"),
+            F.first("n_shingles").alias("n_shingles"),
+            F.first("signature").alias("signature"),
         )
+        self.classes = materialize(in_tasks(classes, self.n_rows, TASK_ROWS))
 
     def members(self) -> DataFrame:
-        """(bucket, node, leader): bands' groups of two classes or more."""
+        """(bucket, node, leader): bands' groups of two classes or more.
+
+        A bucket is a hash of the band's value, and the band's number in its low bits.
+        """
         width = 4 * ROWS
+
+        def bucket(i):
+            value = F.xxhash64(i, F.substring(F.col("signature"), i * width + 1, F.lit(width)))
+            return F.shiftleft(value, BAND_BITS).bitwiseOR(i.cast("long"))
+
         bands = self.classes.select(
             "node",
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(0), F.lit(BANDS - 1)),
-                    lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * width + 1, F.lit(width))),
-                )
-            ).alias("bucket"),
+            F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), bucket)).alias("bucket"),
         )
         leaders = bands.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
         leaders = leaders.filter("leader <> last").drop("last")
-        return materialize(bands.join(leaders, "bucket"))
+        members = materialize(in_tasks(bands.join(leaders, "bucket"), BANDS * self.n_rows))
+        self.n_members = members.count()
+        return in_tasks(members, self.n_members)
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """(node, shingles) of the nodes, made again from their texts."""
-        nodes = sent_if_small(nodes.select(F.col("node").alias("wanted")).distinct())
+        nodes = in_tasks(nodes.select(F.col("node").alias("wanted")).distinct(), self.n_rows)
+        nodes = sent_if_small(nodes)
         wanted = self.docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(
             nodes, F.col("node") == F.col("wanted"), "left_semi"
         )
@@ -298,14 +320,9 @@ class Similar:
 
     def leaders_of(self, members: DataFrame) -> DataFrame:
         """(node, leader): the leader of most of a node's groups."""
-        return (
-            members.filter("node <> leader")
-            .groupBy("node", "leader")
-            .agg(F.count("*").alias("n"))
-            .groupBy("node")
-            .agg(F.max(F.struct("n", (-F.col("leader")).alias("least"))).alias("best"))
-            .select("node", (-F.col("best.least")).alias("leader"))
-        )
+        # Of leaders with equally many groups the smallest; a node has a leader a band.
+        found = members.filter("node <> leader").groupBy("node").agg(F.mode("leader", True).alias("leader"))
+        return in_tasks(found, self.n_rows)
 
     def leaders_of_components(self, members: DataFrame, found: DataFrame) -> DataFrame:
         """(node, leader): one pair for two components that share a group.
@@ -314,28 +331,28 @@ class Similar:
         compared with the smallest of all. Of the pairs of two components that with
         most groups counts.
         """
-        stand_ins = with_components(members, found).groupBy("bucket", "comp").agg(F.min("node").alias("node"))
+        own = in_tasks(with_components(members, found), self.n_members)
+        stand_ins = own.groupBy("bucket", "comp").agg(F.min("node").alias("node"))
+        stand_ins = materialize(in_tasks(stand_ins, self.n_members))
         first = stand_ins.groupBy("bucket").agg(
             F.count("*").alias("comps"), F.min(F.struct("node", "comp")).alias("first")
         )
         first = first.filter("comps > 1").select("bucket", "first.node", "first.comp").toDF("bucket", "leader", "led")
-        return (
-            stand_ins.join(first, "bucket")
-            .filter("comp <> led")
-            .groupBy("comp", "led", "node", "leader")
-            .agg(F.count("*").alias("n"))
-            .groupBy("comp", "led")
-            .agg(F.max(F.struct("n", "node", "leader")).alias("best"))
-            .select("best.node", "best.leader")
-            .distinct()
+        pairs = in_tasks(stand_ins.join(in_tasks(first, self.n_members), "bucket"), self.n_members)
+        pairs = pairs.filter("comp <> led").groupBy("comp", "led", "node", "leader").agg(F.count("*").alias("n"))
+        best = in_tasks(pairs, self.n_members).groupBy("comp", "led").agg(
+            F.max(F.struct("n", "node", "leader")).alias("best")
         )
+        # Different components have different nodes, so no pair comes twice.
+        return in_tasks(best.select("best.node", "best.leader"), self.n_members)
 
-    def star_links(self, pairs: DataFrame) -> DataFrame:
-        """Confirmed links (a, b) among pairs (node, leader)."""
+    def star_links(self, pairs: DataFrame, most: int) -> DataFrame:
+        """Confirmed links (a, b) among pairs (node, leader), ``most`` at most."""
         signed = self.classes.select("node", "signature", "n_shingles")
-        both = pairs.join(signed, "node").join(
+        both = in_tasks(pairs.join(signed, "node"), most, TASK_ROWS).join(
             signed.select(F.col("node").alias("leader"), F.col("signature").alias("leads")), "leader"
         )
+        both = in_tasks(both, most, TASK_ROWS)
         threshold, miss, percent = self.percent / 100, self.miss, self.percent
 
         def prune(batches):
@@ -350,12 +367,15 @@ class Similar:
                     pa.array(survives(one, two, threshold, miss))
                 )
 
-        near = materialize(both.mapInArrow(prune, "node long, leader long, n_shingles long").distinct())
+        near = both.mapInArrow(prune, "node long, leader long, n_shingles long").distinct()
+        near = materialize(in_tasks(near, most))
+        n_near, n_shingles = near.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
         # A leader's set meets its members' in as many tiles as they have shingles for.
         tiles = near.groupBy("leader").agg(
             F.ceil(F.sum("n_shingles") / TILE_SHINGLES).cast("int").alias("tiles")
         )
-        of_members = near.join(tiles, "leader").select(
+        tiles = in_tasks(tiles, n_near)
+        of_members = in_tasks(near.join(tiles, "leader"), n_near).select(
             "leader", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"), "node"
         )
         of_leaders = tiles.select(
@@ -363,7 +383,8 @@ class Similar:
             F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"),
             F.col("leader").alias("node"),
         )
-        rows = of_members.union(of_leaders).join(self.sets(of_members.select("node").union(of_leaders.select("node"))), "node")
+        wanted = materialize(of_members.union(of_leaders))
+        rows = in_tasks(wanted.join(self.sets(wanted), "node"), n_shingles, TILE_SHINGLES)
 
         def confirm(batches):
             for (leader, _), group in groups_of(batches, ["leader", "tile"]):
@@ -378,12 +399,13 @@ class Similar:
                     yield pa.RecordBatch.from_pydict({"a": pa.array(found), "b": pa.array([leader] * len(found))})
 
         keys = ["leader", "tile"]
-        return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(confirm, "a long, b long")
+        rows = in_tasks(rows.repartition(*keys), n_shingles, TILE_SHINGLES).sortWithinPartitions(*keys)
+        return rows.mapInArrow(confirm, "a long, b long")
 
     def cross_links(self, members: DataFrame, found: DataFrame) -> DataFrame:
         """Confirmed links between components that share a group."""
-        own = with_components(members, found)
-        counts = own.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+        own = materialize(in_tasks(with_components(members, found), self.n_members))
+        counts = in_tasks(own.groupBy("bucket", "comp").agg(F.count("*").alias("n")), self.n_members)
         # The largest component of a group, and how many rows are outside it.
         split = (
             counts.groupBy("bucket")
@@ -391,13 +413,14 @@ class Similar:
             .filter("comps > 1")
             .select("bucket", F.col("main.comp").alias("main"), "rows", (F.col("rows") - F.col("main.n")).alias("out"))
         )
+        split = in_tasks(split, self.n_members)
         # Chunks of outliers first, then of the main component; one chunk if all fit.
         out = F.when(F.col("rows") <= TILE_ROWS, 1).otherwise(F.ceil(F.col("out") / TILE_ROWS)).cast("int")
         main = F.when(F.col("rows") <= TILE_ROWS, 0).otherwise(
             F.ceil((F.col("rows") - F.col("out")) / TILE_ROWS)
         ).cast("int")
         open_rows = (
-            own.join(split, "bucket")
+            in_tasks(own.join(split, "bucket"), self.n_members)
             .withColumns({"n_out": out, "n_main": main, "is_main": F.col("comp") == F.col("main")})
             .withColumn(
                 "chunk",
@@ -420,36 +443,50 @@ class Similar:
                 lambda i: F.struct(i.alias("i"), F.col("chunk").alias("j")),
             )
         )
-        tiled = open_rows.select("bucket", F.explode(tiles).alias("t"), "node", "comp").select(
-            "bucket", "t.i", "t.j", "node", "comp"
+        tiled = open_rows.select("bucket", F.explode(tiles).alias("t"), "chunk", "node", "comp").select(
+            "bucket", "t.i", "t.j", "chunk", "node", "comp"
         )
+        tiled = materialize(tiled)
+        n_tiled = tiled.count()
         keys, threshold, miss, percent = ["bucket", "i", "j"], self.percent / 100, self.miss, self.percent
 
         def prune(batches):
             for key, group in groups_of(batches, keys):
-                comp = np.array(group["comp"])
+                comp, chunk = np.array(group["comp"]), np.array(group["chunk"])
+                band = key[0] & (1 << BAND_BITS) - 1
                 signatures = np.frombuffer(b"".join(group["signature"]), np.uint32).reshape(len(comp), -1)
-                hit = np.zeros(len(comp), bool)
+                bands = signatures.reshape(len(comp), -1, ROWS)[:, : band + 1]
+                pairs = np.zeros((len(comp), len(comp)), bool)
                 for i in range(len(comp) - 1):
-                    others = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
+                    # Pairs of one chunk meet in its own tile.
+                    met = comp[i + 1 :] != comp[i]
+                    others = i + 1 + np.flatnonzero(met if key[1] == key[2] else met & (chunk[i + 1 :] != chunk[i]))
                     alive = others[survives(signatures[i], signatures[others], threshold, miss)]
-                    hit[alive] = True
-                    hit[i] |= len(alive) > 0
-                if hit.any():
-                    at = np.flatnonzero(hit)
+                    shared = (bands[alive] == bands[i]).all(axis=2)
+                    pairs[i, alive[shared[:, band] & ~shared[:, :band].any(axis=1)]] = True
+                at = np.flatnonzero(pairs.any(axis=0) | pairs.any(axis=1))
+                if len(at):
+                    mates = np.packbits(pairs[at][:, at], axis=1)
                     yield pa.RecordBatch.from_pydict(
                         {k: pa.array([v] * len(at), pa.int64()) for k, v in zip(keys, key)}
+                        | {"place": pa.array(range(len(at)), pa.int32())}
                         | {"node": np.array(group["node"])[at], "comp": comp[at]}
+                        | {"mates": pa.array([m.tobytes() for m in mates], pa.binary())}
                     )
 
-        signed = tiled.join(self.classes.select("node", "signature"), "node")
-        near = signed.repartition(*keys).sortWithinPartitions(*keys)
-        near = materialize(near.mapInArrow(prune, "bucket long, i long, j long, node long, comp long"))
+        signed = in_tasks(tiled.join(self.classes.select("node", "signature"), "node"), n_tiled, TASK_ROWS)
+        near = in_tasks(signed.repartition(*keys), n_tiled, TASK_ROWS).sortWithinPartitions(*keys)
+        near = materialize(
+            near.mapInArrow(prune, "bucket long, i long, j long, place int, node long, comp long, mates binary")
+        )
 
         def confirm(batches):
             for _, group in groups_of(batches, keys):
                 comp, sets = group["comp"], [np.frombuffer(s, np.uint64) for s in group["shingles"]]
                 top = {c: c for c in comp}
+                at_place: dict[int, list[int]] = {}  # several rows where an id is repeated
+                for i, place in enumerate(group["place"]):
+                    at_place.setdefault(place, []).append(i)
 
                 def root(c):
                     while top[c] != c:
@@ -457,8 +494,9 @@ class Similar:
                     return c
 
                 a, b = [], []
-                for i in range(len(comp)):
-                    for j in range(i):
+                for i, mates in enumerate(group["mates"]):
+                    places = np.flatnonzero(np.unpackbits(np.frombuffer(mates, np.uint8)))
+                    for j in (j for place in places.tolist() for j in at_place[place]):
                         one, two = root(comp[i]), root(comp[j])
                         if one != two and linked(sets[i], sets[j], percent):
                             top[one] = two
@@ -467,22 +505,26 @@ class Similar:
                 if a:
                     yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
 
-        rows = near.join(self.sets(near), "node")
-        return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(confirm, "a long, b long")
+        n_near = near.count()
+        rows = in_tasks(near.join(self.sets(near), "node"), n_near, TILE_ROWS)
+        rows = in_tasks(rows.repartition(*keys), n_near, TILE_ROWS).sortWithinPartitions(*keys)
+        return rows.mapInArrow(confirm, "a long, b long")
 
     def result(self) -> DataFrame:
         members = self.members()
-        links = materialize(self.star_links(self.leaders_of(members)))
+        # Links are written once: finding components goes over them several times.
+        # Those of the rounds before are stood for by what each node reaches.
+        found = components(materialize(self.star_links(self.leaders_of(members), self.n_rows)))
         for _ in range(STAR_ROUNDS):
-            pairs = self.leaders_of_components(members, components(links))
-            links = materialize(links.union(self.star_links(pairs)))
-        # Written once: finding components goes over the links several times.
-        links = materialize(links.union(self.cross_links(members, components(links))))
-        found = components(links)
+            links = self.star_links(self.leaders_of_components(members, found), self.n_members)
+            found = components(found.union(materialize(links)))
+        links = self.cross_links(members, found)
+        found = components(found.union(materialize(links)))
         classes = self.classes.join(found, "node", "left").select(
             "set_id", F.coalesce("component", "node").alias("component")
         )
-        own = self.rows.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
+        own = self.rows.select("doc_id", "n_shingles", "set_id")
+        own = in_tasks(own.join(in_tasks(classes, self.n_rows), "set_id", "left"), self.n_rows)
         component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
         return own.select(
             "doc_id",

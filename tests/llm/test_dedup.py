@@ -188,6 +188,53 @@ def test_components_of_few_edges_are_written_by_few_tasks(spark):
     assert neardup.components(links.limit(0)).count() == 0
 
 
+@pytest.fixture
+def written(monkeypatch):
+    """The tables that a run writes."""
+    found, real = [], neardup.materialize
+
+    def watched(rows):
+        found.append(real(rows))
+        return found[-1]
+
+    monkeypatch.setattr(neardup, "materialize", watched)
+    return found
+
+
+def test_steps_of_few_rows_are_written_by_few_tasks(spark, families, make, written):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = neardup.near_duplicates(make(families[:60]), words=4)
+        counts = [rows.rdd.getNumPartitions() for rows in written]
+        rows = {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()}
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    assert max(counts[1:]) <= 16, counts
+    assert rows == brute(families[:60], 4)
+
+
+def test_pairs_of_many_groups_are_confirmed_once(families, make, written, monkeypatch):
+    # Without leaders every pair is left to the tiles.
+    monkeypatch.setattr(neardup, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(neardup, "TILE_ROWS", 8)
+    monkeypatch.setattr(
+        neardup.Similar, "leaders_of", lambda self, members: members.select("node", "leader").filter("false")
+    )
+    got = neardup.near_duplicates(make(families), words=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(families, 4)
+    (near,) = (rows for rows in written if "mates" in rows.columns)
+    nodes, marked = {}, []
+    for r in near.collect():
+        nodes[r.bucket, r.i, r.j, r.place] = r.node
+        places = np.flatnonzero(np.unpackbits(np.frombuffer(r.mates, np.uint8))).tolist()
+        marked += [(r.node, (r.bucket, r.i, r.j, place)) for place in places]
+    pairs = [frozenset((node, nodes[mate])) for node, mate in marked]
+    assert len(pairs) > 100 and len(set(pairs)) == len(pairs)
+
+
 def test_links_across_components_are_found_once(spark, make, monkeypatch):
     seen, real = [], neardup.components
 
